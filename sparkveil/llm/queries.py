@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .mixing import OP3_SQL, op3_mixing
+from .sharding import op5_sharding
 
 QUERIES = {
+    "op3_mixing": op3_mixing,
+    "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES = {
+    "op3_mixing": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
