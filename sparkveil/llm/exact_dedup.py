@@ -3,7 +3,7 @@
 The bytes b of a normalised text give the polynomial sum(b[i] * r**i) modulo a prime, for two bases r. A chunk that
 begins at offset o is hashed alone and shifted by r**o; the sum of its shifted chunks is the fingerprint of a text. So
 chunks of a huge document can be hashed anywhere and combined in any order. Texts of equal length and fingerprint are
-then compared chunk by chunk with the one that stays; no text is ever held with another whole one.
+then compared chunk by chunk, place by place; no text is ever held with another whole one.
 
 Defined results: a null text counts as empty; texts are equal when identical after lower-casing A-Z only; of equal texts
 the row with the largest doc_id stays, of rows that repeat this id one row; a null doc_id is smaller than any other.
@@ -77,19 +77,23 @@ def fingerprints(docs: DataFrame, prime: int = PRIME) -> DataFrame:
     )
 
 
-def _texts_as_chunks(batches):
+def _class_chunks(prime: int):
     import pyarrow as pa
 
-    for whole in batches:
-        for batch in C.slices(whole):
-            rows, at, chunks = [], [], []
-            for row, raw in zip(batch["_row"].to_pylist(), C.text_bytes(batch["text"]), strict=True):
-                raw = raw.lower()
-                for i in range(0, max(1, len(raw)), CHUNK):
-                    rows.append(row)
-                    at.append(i // CHUNK)
-                    chunks.append(raw[i : i + CHUNK])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), pa.array(at, pa.int32()), pa.array(chunks, pa.binary())], names=["_row", "_chunk", "_bytes"])
+    def run(batches):
+        for whole in batches:
+            for batch in C.slices(whole):
+                out = {k: [] for k in ("n_bytes", "f1", "f2", "_chunk", "_bytes")}
+                for raw in C.text_bytes(batch["text"]):
+                    raw = raw.lower()
+                    starts = range(0, max(1, len(raw)), CHUNK)
+                    f1, f2 = (sum(chunk_term(raw[at : at + CHUNK], at, b, prime) for at in starts) % prime for b in BASES)
+                    for at in starts:
+                        for k, v in zip(out, (len(raw), f1, f2, at // CHUNK, raw[at : at + CHUNK]), strict=True):
+                            out[k].append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(out[k], pa.int64()) for k in list(out)[:4]), pa.array(out["_bytes"], pa.binary())], names=list(out))
+
+    return run
 
 
 def _best(keys: list[str], prints: DataFrame) -> DataFrame:
@@ -100,17 +104,14 @@ def _best(keys: list[str], prints: DataFrame) -> DataFrame:
     return part.select(*keys, "_salt").join(whole, keys)
 
 
-def unequal(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Rows (_row) of classes whose text differs from that of the row that stays: the chunks of each are compared with
-    the chunks of that row, a copy of which goes to each salt."""
-    ours = docs.select("_row", "text")
-    near = C.maybe_in(ours, C.bitmap(members, "_row"), "_row").filter("_maybe").select("_row", "text")
-    chunks = near.mapInArrow(_texts_as_chunks, "_row string, _chunk int, _bytes binary")
-    mine = members.filter(F.col("_row") != F.col("keep._row")).select("_row", F.col("keep._row").alias("_of"), "_salt")
-    kept = members.select(F.col("keep._row").alias("_of"), "_salt").distinct()
-    theirs = chunks.withColumnRenamed("_row", "_of").withColumnRenamed("_bytes", "_theirs").join(kept, "_of")
-    pairs = chunks.join(mine, "_row").join(theirs, ["_of", "_salt", "_chunk"], "left")
-    return pairs.filter(~F.col("_bytes").eqNullSafe(F.col("_theirs"))).select("_row").distinct()
+def unequal(docs: DataFrame, members: DataFrame, prime: int) -> DataFrame:
+    """Fingerprints (n_bytes, f1, f2) that different texts share: the chunks at one place of all texts of a fingerprint
+    are equal if the least is the greatest. These are found as the chunks stream by, in each task and then over tasks,
+    so that a task sends one pair of chunks for each place, however many copies it has read."""
+    near = C.maybe_in(docs.select("_row", "text"), C.bitmap(members, "_row"), "_row").filter("_maybe").select("text")
+    chunks = near.mapInArrow(_class_chunks(prime), "n_bytes long, f1 long, f2 long, _chunk long, _bytes binary")
+    ends = chunks.groupBy("n_bytes", "f1", "f2", "_chunk").agg(F.min("_bytes").alias("least"), F.max("_bytes").alias("most"))
+    return ends.filter("least <> most").select("n_bytes", "f1", "f2").distinct()
 
 
 def exact_duplicates(docs: DataFrame, scratch: C.Scratch, prime: int = PRIME) -> DataFrame:
@@ -119,8 +120,8 @@ def exact_duplicates(docs: DataFrame, scratch: C.Scratch, prime: int = PRIME) ->
     prints = scratch.keep(fingerprints(docs, prime).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))), "prints")
     keys = ["n_bytes", "f1", "f2"]
     classes = scratch.keep(_best(keys, prints).filter("group_size > 1"), "classes")
-    members = scratch.keep(prints.drop("text_sha256").join(classes, [*keys, "_salt"]), "members")
-    wrong = scratch.keep(unequal(docs, members).join(members, "_row").select(*keys).distinct(), "wrong")
+    members = scratch.keep(prints.select("_row", *keys, "_salt").join(classes.select(*keys, "_salt"), [*keys, "_salt"]).select("_row"), "members")
+    wrong = scratch.keep(unequal(docs, members, prime), "wrong")
     if not wrong.isEmpty():  # equal fingerprints of different texts: these classes are told apart by their digests too
         keys = [*keys, "_split"]
         prints = prints.join(wrong.withColumn("_bad", F.lit(True)), keys[:3], "left").withColumn("_split", F.when(F.col("_bad"), F.col("text_sha256")).otherwise(F.lit("")))

@@ -5,13 +5,16 @@ from __future__ import annotations
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .mixing import OP3_SQL, op3_mixing
 from .sharding import op5_sharding
+from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
+    "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
     "op7_exact_dedup": op7_exact_dedup,
 }
 ORACLES = {
+    "op1_warc": OP1_SQL,
     "op3_mixing": OP3_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
