@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .exact_dedup import OP7_SQL, op7_exact_dedup
+from .language_id import op6_language_id
 from .mixing import OP3_SQL, op3_mixing
+from .sentencepiece_stream import op10_sentencepiece
 from .sharding import op5_sharding
 from .warc import OP1_SQL, op1_warc
 
@@ -11,7 +13,9 @@ QUERIES = {
     "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
     "op5_sharding": op5_sharding,
+    "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {
     "op1_warc": OP1_SQL,
