@@ -30,7 +30,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 0.05
 #: Code points that are hashed at once.
 WINDOW = 1 << 20
 #: The pipeline drops documents of no language, and those whose language has less than this probability.
-LEAST_SCORE = 0.4
+LEAST_SCORE = 0.3
 
 
 @cache

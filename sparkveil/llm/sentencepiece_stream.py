@@ -24,6 +24,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import common as C
 
@@ -297,8 +298,8 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, check: bool
                 lists = pa.ListArray.from_arrays(pa.array([None if texts[i] is None else at[i] for i in range(len(texts))] + at[-1:], pa.int32()), pa.concat_arrays(chunks))
                 yield pa.RecordBatch.from_arrays([*batch.columns, lists, *([pa.array(equal, pa.bool_())] if check else [])], names=[*names, "ids", *(["decoded_equal"] if check else [])])
 
-    schema = docs.schema.add("ids", "array<int>", True)
-    return docs.mapInArrow(run, schema.add("decoded_equal", "boolean", True) if check else schema)
+    more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_equal", T.BooleanType())]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more[: 1 + check]]))
 
 
 def decode(tokens: DataFrame, ids: str = "ids", to: str = "text", model: str = MODEL) -> DataFrame:
@@ -316,7 +317,7 @@ def decode(tokens: DataFrame, ids: str = "ids", to: str = "text", model: str = M
             made = [None if x is None else coder.decode(x) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*names, to])
 
-    return tokens.mapInArrow(run, tokens.schema.add(to, "string", True))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
