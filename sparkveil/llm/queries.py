@@ -7,6 +7,7 @@ from .language_id import op6_language_id
 from .mixing import OP3_SQL, op3_mixing
 from .sentencepiece_stream import op10_sentencepiece
 from .sharding import op5_sharding
+from .simhash import op8_simhash
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_simhash": op8_simhash,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {
