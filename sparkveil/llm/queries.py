@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import OP4_SQL, op4_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op6_language_id
 from .mixing import OP3_SQL, op3_mixing
@@ -13,6 +14,7 @@ from .warc import OP1_SQL, op1_warc
 QUERIES = {
     "op1_warc": op1_warc,
     "op3_mixing": op3_mixing,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sharding": op5_sharding,
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
@@ -22,5 +24,6 @@ QUERIES = {
 ORACLES = {
     "op1_warc": OP1_SQL,
     "op3_mixing": OP3_SQL,
+    "op4_embedding_dedup": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
 }
