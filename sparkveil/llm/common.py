@@ -122,11 +122,11 @@ def slices(batch, most: int = 4 << 20):
         i = j
 
 
-def word_bounds(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and ends of the words in a byte buffer."""
+def word_bounds(buf: np.ndarray, between: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in a byte buffer; between: which bytes belong to none."""
     word = np.empty(len(buf) + 2, np.int8)
     word[0] = word[-1] = 0
-    np.logical_not(IS_SPACE[buf], out=word[1:-1].view(bool))
+    np.logical_not(between[buf], out=word[1:-1].view(bool))
     edge = np.flatnonzero(np.diff(word))
     return edge[0::2], edge[1::2]
 

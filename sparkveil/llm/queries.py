@@ -9,10 +9,12 @@ from .mixing import OP3_SQL, op3_mixing
 from .sentencepiece_stream import op10_sentencepiece
 from .sharding import op5_sharding
 from .simhash import op8_simhash
+from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .warc import OP1_SQL, op1_warc
 
 QUERIES = {
     "op1_warc": op1_warc,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_mixing": op3_mixing,
     "op4_embedding_dedup": op4_embedding_dedup,
     "op5_sharding": op5_sharding,
@@ -23,6 +25,7 @@ QUERIES = {
 }
 ORACLES = {
     "op1_warc": OP1_SQL,
+    "op2_substring_dedup": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_embedding_dedup": OP4_SQL,
     "op7_exact_dedup": OP7_SQL,
