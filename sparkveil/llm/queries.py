@@ -5,6 +5,7 @@ from __future__ import annotations
 from .embedding_dedup import OP4_SQL, op4_embedding_dedup
 from .exact_dedup import OP7_SQL, op7_exact_dedup
 from .language_id import op6_language_id
+from .licenses import op9_license_scan
 from .mixing import OP3_SQL, op3_mixing
 from .sentencepiece_stream import op10_sentencepiece
 from .sharding import op5_sharding
@@ -21,6 +22,7 @@ QUERIES = {
     "op6_language_id": op6_language_id,
     "op7_exact_dedup": op7_exact_dedup,
     "op8_simhash": op8_simhash,
+    "op9_license_scan": op9_license_scan,
     "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES = {
