@@ -30,8 +30,10 @@ from . import common as C
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-#: Words whose ids a worker remembers; the table is emptied when full.
-REMEMBERED = 300_000
+#: Words whose ids a worker remembers, in each of two generations.
+REMEMBERED = 250_000
+#: Pieces before a piece for which a worker remembers whether it may follow.
+LEFT_REMEMBERED = 5_000
 #: Longer units are encoded as a stream and aren't remembered.
 LONGEST_WORD = 48
 #: Positions after which a stream looks for a boundary where its paths meet.
@@ -60,18 +62,31 @@ class Coder:
         self.pieces = {p: i for p, (i, _) in model["pieces"].items()}
         self.texts = {i: p for p, i in self.pieces.items()}
         self.byte_ids = model["bytes"]
-        self.byte_of = {i: b for b, i in enumerate(self.byte_ids)}
         order = sorted({s for _, s in model["pieces"].values()}, reverse=True)
         rank_of = {s: r for r, s in enumerate(order)}
         self.rank = {p: rank_of[s] for p, (_, s) in model["pieces"].items()}
         self.longest = max(map(len, self.pieces))
-        self._fits: dict[tuple[str, str], bool] = {}
         self._sides: dict[str, tuple] = {}
         self._known: dict[str, tuple[int, ...]] = {}
+        self._older: dict[str, tuple[int, ...]] = {}
         # characters that no piece of two or more holds never join; a text may be cut around them
         joined = {c for p in self.pieces if len(p) > 1 for c in p}
         self._cut = re.compile("([^" + re.escape("".join(sorted(joined - {SPACE}))) + "])")
-        self.usable = {p for p in self.pieces if len(p) == 1 or self._split(p) is not None}
+        # pieces that merging can end in, read backwards as a tree; "" marks an end
+        self.tree: dict = {}
+        self.follows: dict[str, dict[str, bool]] = {}
+        for p in self.pieces:
+            if len(p) > 1 and self._split(p) is not None:
+                self.follows[p] = {}
+                node = self.tree
+                for c in reversed(p):
+                    node = node.setdefault(c, {})
+                node[""] = (p, self.follows[p])
+        self.raw = [b""] * (max(max(self.texts), max(self.byte_ids)) + 1)
+        for i, p in self.texts.items():
+            self.raw[i] = p.replace(SPACE, " ").encode()
+        for b, i in enumerate(self.byte_ids):
+            self.raw[i] = bytes([b])
 
     # -- merging --
 
@@ -110,12 +125,11 @@ class Coder:
         return have
 
     def fits(self, left: str, right: str) -> bool:
-        """Whether merging `left` + `right` ends in these two pieces."""
-        key = (left, right)
-        if (have := self._fits.get(key)) is None:
-            if len(self._fits) > 2_000_000:
-                self._fits.clear()
-            have = self._fits[key] = self._fits_now(left, right)
+        """Whether merging `left` + `right` ends in these two pieces; remembered for each right one."""
+        known = self.follows[right]
+        if len(known) > LEFT_REMEMBERED:
+            known.clear()
+        have = known[left] = self._fits_now(left, right)
         return have
 
     def _fits_now(self, left: str, right: str) -> bool:
@@ -137,27 +151,41 @@ class Coder:
 
     # -- Viterbi --
 
-
     def _ids(self, piece: str) -> list[int]:
-        i = self.pieces.get(piece) if piece != "\u0000" else None
+        i = self.pieces.get(piece)
         return [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
 
+    def _last(self, unit: str, at: int, base: int, last: list[str]) -> str:
+        """The last piece of the encoding of unit[:at]: the longest that ends here and may follow the last piece of what
+        is before it. last[i] is that of the prefix that ends at base + i."""
+        node, k = self.tree.get(unit[at - 1]), at - 1
+        ends = []
+        while node is not None and k > base:
+            k -= 1
+            node = node.get(unit[k])
+            if node is not None and (end := node.get("")) is not None:
+                ends.append(end)
+        while ends:
+            piece, before = ends.pop()
+            k = at - len(piece)
+            if k == 0:
+                return piece
+            left = last[k - base]
+            fits = before.get(left)
+            if fits is None:
+                fits = self.fits(left, piece)
+            if fits:
+                return piece
+        return unit[at - 1]
+
     def pieces_of(self, unit: str) -> Iterator[str]:
         """The pieces of a unit, streamed: those before a boundary come as soon as all paths that can go on meet there."""
-        last: list[str] = [""]  # last[i]: of the prefix that ends i characters after `base`
-        base, at = 0, 0
-        while at < len(unit):
-            at += 1
-            lo = max(0, at - base - self.longest)
-            t = None
-            for n in range(min(at - base, self.longest), 1, -1):
-                x = unit[at - n : at]
-                if x in self.usable and (at == n or at - n == base and base == 0 or self.fits(last[at - base - n], x)):
-                    t = x
-                    break
-            last.append(t or unit[at - 1])
-            if at - base >= LOOK + self.longest and lo > 0:
-                live = set(range(lo, at - base + 1))
+        last: list[str] = [""]
+        base = 0
+        for at in range(1, len(unit) + 1):
+            last.append(self._last(unit, at, base, last))
+            if at - base >= LOOK + self.longest:
+                live = set(range(at - base - self.longest, at - base + 1))
                 while len(live) > 1:
                     p = max(live)
                     live.discard(p)
@@ -167,7 +195,7 @@ class Coder:
                     yield from self._path(last, meet)
                     last = last[meet:]
                     base += meet
-        yield from self._path(last, at - base)
+        yield from self._path(last, len(unit) - base)
 
     @staticmethod
     def _path(last: list[str], at: int) -> list[str]:
@@ -179,14 +207,36 @@ class Coder:
 
     # -- texts --
 
+    def _short(self, unit: str) -> list[str]:
+        """pieces_of for a unit that is held whole."""
+        last, find = [""], self._last
+        for at in range(1, len(unit) + 1):
+            last.append(find(unit, at, 0, last))
+        return self._path(last, len(unit))
+
+    def _ids_of(self, pieces) -> tuple[int, ...]:
+        known, out = self.pieces, []
+        for p in pieces:
+            i = known.get(p)
+            if i is None:
+                out += self._ids(p)
+            else:
+                out.append(i)
+        return tuple(out)
+
+    def _remember(self, unit: str, ids: tuple[int, ...]) -> None:
+        """Two generations: when the younger is full, it becomes the older, and what isn't used again goes."""
+        if len(self._known) >= REMEMBERED:
+            self._older, self._known = self._known, {}
+        self._known[unit] = ids
+
     def _word(self, unit: str) -> tuple[int, ...]:
         """Ids of a word, with its leading space if it has one."""
         if (have := self._known.get(unit)) is None:
-            have = tuple(i for p in self.pieces_of(unit) for i in self._ids(p))
+            if (have := self._older.get(unit)) is None:
+                have = self._ids_of(self.pieces_of(unit) if len(unit) > LONGEST_WORD else self._short(unit))
             if len(unit) <= LONGEST_WORD:
-                if len(self._known) >= REMEMBERED:
-                    self._known.clear()
-                self._known[unit] = have
+                self._remember(unit, have)
         return have
 
     def _spaces(self, n: int) -> list[int]:
@@ -203,12 +253,15 @@ class Coder:
         out: list[int] = []
         alone = self.pieces[SPACE]
         spaces = 0
-        known, word = self._known, self._word
+        word = self._word
         for w in text.split(" "):
             spaces += 1
             if not w:
                 continue
-            ids = known.get(SPACE + w)
+            unit = SPACE + w
+            ids = self._known.get(unit)
+            if ids is None and (ids := self._older.get(unit)) is not None:
+                self._remember(unit, ids)
             if ids is None or spaces > 1:
                 parts = self._cut.split(w)
                 first = word(SPACE + parts[0]) if parts[0] else (alone,)
@@ -224,7 +277,7 @@ class Coder:
                     if p:
                         ids += word(p) if k % 2 == 0 else tuple(self._ids(p) if p != SPACE else [self.byte_ids[b] for b in p.encode()])
                 if spaces == 1 and len(w) <= LONGEST_WORD:
-                    known[SPACE + w] = ids
+                    self._remember(unit, ids)
             out += ids
             spaces = 0
         if spaces:
@@ -232,20 +285,8 @@ class Coder:
         return out
 
     def decode(self, ids) -> str:
-        out: list[str] = []
-        raw = bytearray()
-        for i in ids:
-            b = self.byte_of.get(i)
-            if b is not None:
-                raw.append(b)
-                continue
-            if raw:
-                out.append(raw.decode(errors="replace"))
-                raw = bytearray()
-            out.append(self.texts[i].replace(SPACE, " "))
-        if raw:
-            out.append(raw.decode(errors="replace"))
-        return "".join(out).removeprefix(" ")
+        raw = self.raw
+        return b"".join([raw[i] for i in ids]).decode(errors="replace").removeprefix(" ")
 
 
 @cache
