@@ -118,13 +118,14 @@ ITEM = "struct<text:string,surface:string,type:string>"
 
 def additions(answer: Column) -> Column:
     """array<struct<text, type>> of a model's answer: a JSON list, or the list under `additions` of an object; empty for
-    anything else. Items that aren't objects, or whose text isn't a string, are dropped."""
-    as_list = F.from_json(F.when(F.regexp_like(answer, F.lit(r"^\s*\[")), answer), f"array<{ITEM}>")
-    as_object = F.from_json(F.when(F.regexp_like(answer, F.lit(r"^\s*\{")), answer), f"struct<additions:array<{ITEM}>>")["additions"]
-    items = F.coalesce(as_list, as_object, none(f"array<{ITEM}>"))
+    anything else. Items that aren't objects or have no text are dropped; a number counts as its digits."""
+    raw = "array<string>"  # items in JSON: one bad item doesn't spoil the others
+    as_list = F.from_json(F.when(F.regexp_like(answer, F.lit(r"^\s*\[")), answer), raw)
+    as_object = F.from_json(F.when(F.regexp_like(answer, F.lit(r"^\s*\{")), answer), f"struct<additions:{raw}>")["additions"]
+    items = F.transform(F.coalesce(as_list, as_object, none(raw)), lambda i: F.from_json(F.when(F.regexp_like(i, F.lit(r"^\s*\{")), i), ITEM))
     strip = lambda c: F.regexp_replace(c, f"^[{K.SPACE}]+|[{K.SPACE}]+$", "")
     named = F.transform(items, lambda i: F.struct(strip(F.coalesce(F.when(i["text"] != "", i["text"]), i["surface"], F.lit(""))).alias("text"), i["type"].alias("type")))
-    return F.filter(named, lambda i: i.isNotNull() & (i["text"] != ""))
+    return F.filter(named, lambda i: i["text"] != "")
 
 
 def prompt(chunk: Column, existing: Column) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions.scalars import is_mynumber, legal_pattern
 from ..functions.scan import any_of, between, literal, matches, none, quoted, span, spans, starts
-from ..functions.shadow import HYPHEN_CLASS, folded, to_text
+from ..functions.shadow import HYPHEN_CLASS, to_text
 
 EMAIL = r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}(?![A-Za-z0-9\-])"
 _H = "[" + "".join(quoted(c) for c in K.PHONE_HYPHENS) + "]"
@@ -142,14 +142,13 @@ def key_pattern(key: str) -> str:
     return f"[{K.SPACE}]*".join(HYPHEN_CLASS if c == "-" else quoted(c) for c in key)
 
 
-def dictionary_spans(s: Column, keys: list[tuple[str, str]]) -> Column:
+def dictionary_spans(s: Column, keys: list[tuple[str, str]], fold: Column) -> Column:
     """All occurrences of keys (folded key, type), overlapping and nested ones too, wherever they stand in a word, in the
-    order of their ends, the longest first. A key is looked for by pattern only where the folded shadow contains it.
+    order of their ends, the longest first. A key is looked for by pattern only where the folded shadow contains it; `fold`, that shadow, should be a column, as each key looks at it.
 
     The keys travel in the plan as one literal; see sources.dictionary for how large it may be."""
     if not keys:
         return none(K.SPANS)
-    fold = folded(s)
     entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(t).alias("type"), F.lit(key_pattern(k)).alias("pattern")) for k, t in keys])
     present = F.filter(entries, lambda k: F.contains(fold, k["key"]))
 

@@ -111,10 +111,10 @@ def candidates(text: Column, found: Column) -> Column:
     return _first_of_each(long_enough, _CANDIDATES)
 
 
-def spread(text: Column, found: Column) -> Column:
+def spread(text: Column, found: Column, sh: Column) -> Column:
     """The spans, then other occurrences of what they hold. Surfaces are compared in the shadow, longer ones first; an
-    occurrence that touches a span or an earlier occurrence, or stands within a longer name, doesn't count."""
-    sh = shadow(text)
+    occurrence that touches a span or an earlier occurrence, or stands within a longer name, doesn't count. sh: the
+    shadow, which should be a column, as each occurrence looks at it."""
     s, x = sh["s"], sh["x"]
     shadowed = F.transform(candidates(text, found), lambda c: F.struct(shadow(c["q"])["s"].alias("q"), c["type"].alias("type"), c["score"].alias("score"), c["sources"].alias("sources")))
     unique = _first_of_each(F.filter(shadowed, lambda c: F.length(c["q"]) >= K.MIN_SPREAD), _CANDIDATES)
@@ -141,11 +141,14 @@ def spread(text: Column, found: Column) -> Column:
     return F.concat(found, F.aggregate(ordered, acc0, each, lambda a: a["new"]))
 
 
-def merge_spans(df: DataFrame, text: str = "text", found: str = "spans") -> DataFrame:
-    """df with disjoint spans in place of the detectors'. Each step is a projection; rows without spans pass through."""
+def merge_spans(df: DataFrame, text: str = "text", found: str = "spans", sh: Column | None = None) -> DataFrame:
+    """df with disjoint spans in place of the detectors'. Each step is a projection; rows without spans pass through.
+    sh: the text's shadow if there is a column of it."""
     t, f = F.col(text), F.col(found)
+    if sh is None:
+        return merge_spans(df.withColumn("_sh", held(shadow(t))), text, found, F.col("_sh")).drop("_sh")
     some = lambda made: F.when(F.size(f) > 0, made).otherwise(f)
-    for step in (lambda: widen(t, f), lambda: merge(f), lambda: spread(t, f), lambda: widen(t, f), lambda: merge(f)):
+    for step in (lambda: widen(t, f), lambda: merge(f), lambda: spread(t, f, sh), lambda: widen(t, f), lambda: merge(f)):
         df = df.withColumn(found, held(some(step())))
     return df
 

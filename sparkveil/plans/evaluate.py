@@ -83,8 +83,12 @@ def false_alarms(judged: DataFrame) -> DataFrame:
 def by_source(cases: DataFrame, names: list[str], pred: str = "spans", gold: str = "gold") -> DataFrame:
     """(source, lost): how much recall falls if spans with a source are left out. For raw spans, each of one source."""
     rows = cases.select(F.explode(gold).alias("g"), F.col(pred).alias("p"))
+
+    def without_source(name):
+        return lambda b: ~F.array_contains(b["sources"], name)
+
     hit = lambda c: F.avg(F.exists(F.filter("p", c), lambda b: _touch(F.col("g"), b)).cast("int"))
-    one = rows.agg(hit(lambda _: F.lit(True)).alias("all"), *[hit(lambda b, n=n: ~F.array_contains(b["sources"], n)).alias(n) for n in names])
+    one = rows.agg(hit(lambda _: F.lit(True)).alias("all"), *[hit(without_source(n)).alias(n) for n in names])
     return one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("source"), (F.col("all") - F.col(n)).alias("lost")) for n in names])).alias("x")).select("x.*")
 
 

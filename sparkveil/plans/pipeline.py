@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions.scan import held, none
-from ..functions.shadow import shadow
+from ..functions.shadow import folded, shadow
 from ..operators import additive, detect
 from ..operators.mask import mask as mask_spans
 from ..operators.merge import merge_spans
@@ -34,21 +34,22 @@ class Plan:
     recogniser: Callable | str | None = None
     client: Callable[[str], str] | None = field(default=None, compare=False)
 
-    def _layer(self, name: str, text: Column, s: Column) -> Column:
+    def _layer(self, name: str, s: Column, fold: Column) -> Column:
         c = self.config
         if name == "regex":
             return detect.regex_spans(s, c.extra_patterns)
         if name == "structural":
             return detect.structural_spans(s, c.person_max, c.org_max, c.person_stopwords)
         if name == "denylist":
-            return detect.dictionary_spans(s, list(self.keys)) if len(self.keys) <= LITERAL_KEYS else none(K.SPANS)
+            return detect.dictionary_spans(s, list(self.keys), fold)
         if name == "address":
             return detect.address_spans(s)
         return none(K.SPANS)
 
     def spans(self, df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
+        """df with the raw spans of all layers, and `_shadow`."""
         t = F.coalesce(F.col(text), F.lit(""))
-        df = df.withColumn("_shadow", held(shadow(t)))
+        df = df.withColumn("_shadow", held(shadow(t))).withColumn("_fold", held(folded(F.col("_shadow.s"))))
         s, x = F.col("_shadow.s"), F.col("_shadow.x")
         parts = []
         for name in self.layers:
@@ -57,17 +58,17 @@ class Plan:
             elif name == "denylist" and len(self.keys) > LITERAL_KEYS:
                 parts.append(dictionary.automaton_spans(list(self.keys))(t))
             else:
-                parts.append(detect.in_text(self._layer(name, t, s), x))
-        return df.withColumn(to, held(F.concat(*parts))).drop("_shadow")
+                parts.append(detect.in_text(self._layer(name, s, F.col("_fold")), x))
+        return df.withColumn(to, held(F.concat(*parts))).drop("_fold")
 
     def detect(self, df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
-        df = merge_spans(self.spans(df, text, to), text, to)
+        df = merge_spans(self.spans(df, text, to), text, to, F.col("_shadow"))
         if self.client is None:
-            return df
+            return df.drop("_shadow")
         df = additive.ask_model(df, self.client, self.config.llm_chunk, text, to)
         had = F.size("_more") > 0
         df = df.withColumn("_merged", F.col(to)).withColumn(to, F.when(had, F.concat(to, "_more")).otherwise(none(K.SPANS)))
-        df = merge_spans(df, text, to)
+        df = merge_spans(df, text, to, F.col("_shadow")).drop("_shadow")
         return df.withColumn(to, F.when(F.size("_more") > 0, F.col(to)).otherwise(F.col("_merged"))).drop("_more", "_merged")
 
 
