@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+import re
 import tempfile
 import uuid
 
@@ -21,12 +23,28 @@ BITMAP_BITS = 1 << 22
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    return re.sub("^file:/(?!/)", "file:///", full).rstrip("/")
+
+
+def store(uri: str):
+    """(file system, path) of a URI, for Python on executors."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(uri)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose results are written, which it does when their plans are
+    collected as garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 class Scratch:
@@ -64,6 +82,11 @@ def with_row_id(df: DataFrame, scratch: Scratch, name: str = "_row") -> DataFram
         return with_row_id(scratch.keep(df, "rows"), scratch, name)
 
 
+def boxed(docs: DataFrame, *more: str) -> DataFrame:
+    """(_doc, doc_id, text, more): each row whole in a struct, so that its other columns may have any names."""
+    return docs.select(F.struct(*docs.columns).alias("_doc"), "doc_id", "text", *more)
+
+
 def _bit(col: Column) -> tuple[Column, Column]:
     at = F.pmod(F.xxhash64(col), F.lit(BITMAP_BITS))
     return F.call_function("shiftright", at, F.lit(6)), (at % 64).cast("int")
@@ -160,7 +183,7 @@ _POWERS: dict[int, np.ndarray] = {}
 def _powers(base: int, n: int) -> np.ndarray:
     have = _POWERS.get(base)
     if have is None or len(have) < n:
-        size = max(1 << 20, 1 << max(0, n - 1).bit_length())
+        size = max(1 << 16, 1 << max(0, n - 1).bit_length())
         have = np.ones(size, np.uint64)
         with np.errstate(over="ignore"):
             done = 1

@@ -155,7 +155,6 @@ FROM t JOIN g ON t.x = g.x
 def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts one document stays."""
     scratch = C.Scratch(spark, "stage-exact")
-    cols = docs.columns
-    rows = C.with_row_id(docs, scratch)
+    rows = C.with_row_id(C.boxed(docs), scratch)
     dropped = scratch.keep(exact_duplicates(rows, scratch).filter(~F.col("kept")).select("_row"), "dropped")
-    return C.without_rows(rows, "_row", dropped).select(*cols)
+    return C.without_rows(rows.select("_doc", "_row"), "_row", dropped).select("_doc.*")

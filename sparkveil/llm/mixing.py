@@ -58,7 +58,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int =
 def thresholds(rows: DataFrame, budgets: DataFrame, scratch: C.Scratch) -> DataFrame:
     """(source, _cut, _with): take hashes below _cut, and _cut itself if _with. rows: (source, size, _hash); budgets:
     (source, _budget), each below its source's size unless that is 0."""
-    state = scratch.keep(budgets.select("source", "_budget", F.lit("").alias("_prefix"), F.lit(0).cast("long").alias("_before")), "budgets")
+    state = scratch.keep(budgets.filter("_budget > 0").select("source", "_budget", F.lit("").alias("_prefix"), F.lit(0).cast("long").alias("_before")), "budgets")
     done = None
     for digits in range(DIGITS, HASH_DIGITS + DIGITS, DIGITS):
         inside = rows.alias("r").join(state.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source")) & F.col("r._hash").startswith(F.col("s._prefix")))
@@ -124,7 +124,6 @@ def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a document comes as often as the mix takes it; one that isn't taken goes. Texts aren't shuffled:
     the plan has one row per source."""
     scratch = C.Scratch(spark, "stage-mix")
-    cols = docs.columns
     plan = mix_plan(scratch.keep(sized(docs), "sized"), scratch)
-    taken = with_copies(hashed(docs), plan).filter("copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*cols)
+    taken = with_copies(hashed(C.boxed(docs, "source")).drop("text"), plan).filter("copies > 0")
+    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

@@ -31,7 +31,7 @@ from . import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 180_000
 #: Pieces before a piece for which a worker remembers whether it may follow.
 LEFT_REMEMBERED = 5_000
 #: Longer units are encoded as a stream and aren't remembered.

@@ -198,7 +198,6 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates stays."""
     scratch = C.Scratch(spark, "stage-simhash")
-    cols = docs.columns
-    rows = C.with_row_id(docs, scratch)
+    rows = C.with_row_id(C.boxed(docs), scratch)
     dropped = scratch.keep(near_duplicates(rows, scratch).filter("_row <> keep_row").select("_row"), "dropped")
-    return C.without_rows(rows, "_row", dropped).select(*cols)
+    return C.without_rows(rows.select("_doc", "_row"), "_row", dropped).select("_doc.*")

@@ -146,17 +146,11 @@ def read_archive(source) -> Iterator[bytes]:
         yield b"".join(parts)
 
 
-def _filesystem(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 def _write_partition(folder: str):
     import pyarrow as pa
 
     def run(batches):
-        store, base = _filesystem(folder)
+        store, base = C.store(folder)
         store.create_dir(base, recursive=True)
 
         def close(records):
@@ -208,7 +202,7 @@ def _read_partition(folder: str):
     import pyarrow as pa
 
     def run(batches):
-        store, base = _filesystem(folder)
+        store, base = C.store(folder)
         for batch in batches:
             for name in batch["archive"].to_pylist():
                 rows, held = [], 0
