@@ -1,10 +1,10 @@
 """Removal of repeated passages with a log-structured index of window hashes.
 
 Documents come in batches, in the order of their ids. A window is WINDOW consecutive words. The index is a list of runs:
-immutable tables of window hashes with the first document of each, sorted and bucketed by hash. The windows of a batch
-are dealt to the same buckets and merge-joined with each run, so that history is never shuffled again; windows that no
-run has and that no smaller document of the batch has become the next run. When there are more than MOST_RUNS runs, the
-two smallest are merged into one by another join of their buckets.
+immutable files, one for each bucket of hashes, of sorted window hashes with the first document of each. The windows of a
+batch are dealt to the buckets, sorted, and merge-joined with each run's file, so that history is never shuffled; windows
+that no run has become the next run, with their smallest document. When there are more than MOST_RUNS runs, the two
+smallest are merged into one, bucket by bucket.
 
 A hit is then verified on the texts: the document that had the window first is read again, and the window counts as
 repeated only if a second hash, with other multipliers for letters and words, agrees too; 128 bits in all. Two different
@@ -13,7 +13,8 @@ those matter of which one is repeated. No window is removed on the first hash al
 
 Before the shuffle a task keeps, of the texts it holds at once (SLICE bytes), the smallest document for each window; the
 others of the slice are hits already, and are dealt out evenly. So a passage that a third of all documents share meets
-its bucket once for each slice, not once for each document.
+its bucket once for each slice, not once for each document. Hashes travel as packed arrays, one for each slice and bucket.
+Files are written under a name of their own and then moved to the bucket's name; a task that runs again writes the same.
 
 Defined results: words are judged on the input, not on what is left; a null text has no words; a document of fewer words
 than a window loses none; documents with equal ids don't remove one another's words; a null id is larger than all others
@@ -30,17 +31,16 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import common as C
 
 WINDOW = 13
 #: Bytes of a text that are hashed at once, and bytes of texts within which a task looks for repeats before the shuffle.
-PIECE, SLICE = 4 << 20, 16 << 20
+PIECE, SLICE = 1 << 18, 6 << 20
 MOST_RUNS = 2
 BATCHES = 4
 #: Bytes of input for each bucket of the index.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 4 << 20
 NO_ID = (1 << 63) - 1
 _BASES = ((0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93), (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F))
 
@@ -83,35 +83,54 @@ def all_hashes(raw: bytes, which: int, size: int = WINDOW, mask: int = ~0) -> np
     return np.concatenate(got).view(np.int64) if got else np.zeros(0, np.int64)
 
 
-def _slice_windows(size: int, mask: int):
-    """(k, doc, h, ref): for each window of a slice its smallest document, k being its hash; and as hits, dealt evenly
-    by a k of their own, h, the other documents and the smallest one."""
+def _pack(values: np.ndarray) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
+
+
+def _unpack(raw: bytes, kind=np.int64) -> np.ndarray:
+    import zstandard
+
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), kind)
+
+
+def _slice_windows(size: int, mask: int, buckets: int):
+    """(b, h, doc, ref): for each slice and bucket the windows with the smallest document of each, and the slice's hits,
+    which also have that document as ref, dealt evenly."""
     import pyarrow as pa
 
+    names, kinds = ["b", "h", "doc", "ref"], [pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+
     def run(batches):
+        turn = 0
         for whole in batches:
             for batch in C.slices(whole, SLICE):
-                hashes, owners = [], []
-                for doc, raw in zip(batch["_doc"].to_pylist(), C.text_bytes(batch["text"]), strict=True):
-                    h = np.unique(all_hashes(raw, 0, size, mask))
-                    hashes.append(h)
-                    owners.append(np.full(len(h), doc, np.int64))
-                if not hashes or not sum(map(len, hashes)):
+                rows = []
+                texts = sorted(zip(batch["_doc"].to_pylist(), C.text_bytes(batch["text"]), strict=True), key=lambda x: x[0])
+                hashes = [all_hashes(raw, 0, size, mask) for _, raw in texts]
+                h = np.concatenate(hashes) if hashes else np.zeros(0, np.int64)
+                if not len(h):
                     continue
-                h, doc = np.concatenate(hashes), np.concatenate(owners)
-                order = np.lexsort((doc, h))
-                h, doc = h[order], doc[order]
+                docs = np.array([d for d, _ in texts], np.int64)
+                owner = np.repeat(np.arange(len(docs), dtype=np.int32), [len(x) for x in hashes])
+                order = np.argsort(h, kind="stable")  # documents come in order, so that it is by document too
+                h, owner = h[order], owner[order]
                 first = np.concatenate([[True], h[1:] != h[:-1]])
-                ref = doc[np.flatnonzero(first)[np.cumsum(first) - 1]]
-                hit = doc > ref
-                k = h.copy()
-                k[hit] = C.mix64((h[hit] ^ (doc[hit] * np.int64(0x5851F42D4C957F2D))).view(np.uint64)).view(np.int64)
-                keep = first | hit
-                for at in range(0, len(h), 1 << 18):
-                    s = slice(at, at + (1 << 18))
-                    m = keep[s]
-                    no = ~hit[s][m]
-                    yield pa.RecordBatch.from_arrays([pa.array(k[s][m]), pa.array(doc[s][m]), pa.array(h[s][m], mask=no), pa.array(ref[s][m], mask=no)], names=["k", "doc", "h", "ref"])
+                smallest = owner[np.flatnonzero(first)[np.cumsum(first) - 1]]
+                fresh = first | (owner != np.concatenate([[-1], owner[:-1]]))
+                hit = fresh & (docs[owner] > docs[smallest])
+                if hit.any():
+                    turn += 1
+                    rows.append((int((h[0].view(np.uint64) + np.uint64(turn)) % np.uint64(buckets)), h[hit].tobytes(), _pack(docs[owner[hit]]), _pack(docs[smallest[hit]])))
+                h, owner = h[first], owner[first]
+                b = (h.view(np.uint64) % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(b, kind="stable")
+                cuts = np.flatnonzero(np.diff(b[order])) + 1
+                for part in np.split(order, cuts):
+                    rows.append((int(b[part[0]]), h[part].tobytes(), _pack(docs[owner[part]]), None))
+                for at in range(0, len(rows), 256):
+                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows[at : at + 256]], k) for i, k in enumerate(kinds)], names=names)
 
     return run
 
@@ -119,68 +138,133 @@ def _slice_windows(size: int, mask: int):
 # ---- the index ---------------------------------------------------------------------------------------------------
 
 
+def _file(folder: str, bucket: int) -> str:
+    return f"{folder}/bucket-{bucket:08d}.parquet"
+
+
+def _write_bucket(folder: str, bucket: int, h: np.ndarray, doc: np.ndarray) -> None:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    files, base = C.store(folder)
+    files.create_dir(base, recursive=True)
+    own = f"{base}/.{uuid.uuid4().hex}"
+    with files.open_output_stream(own, compression=None) as out:
+        pq.write_table(pa.table({"h": h, "doc": doc}), out, compression="zstd", use_dictionary=False, column_encoding={"h": "DELTA_BINARY_PACKED", "doc": "PLAIN"}, write_statistics=False)
+    files.move(own, _file(base, bucket))
+
+
+def _read_bucket(folder: str, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+    import pyarrow.parquet as pq
+
+    files, base = C.store(folder)
+    path = _file(base, bucket)
+    if not files.get_file_info([path])[0].is_file:  # the run has no window in this bucket
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    with files.open_input_file(path) as f:
+        t = pq.read_table(f, use_threads=False)
+    return t["h"].to_numpy(), t["doc"].to_numpy()
+
+
+def _merge_batch(runs: list[str], keep: str | None):
+    """(h, doc, ref): the hits of a batch's buckets. What is new goes to the files of the run `keep`."""
+    import pyarrow as pa
+
+    def out(h, doc, ref):
+        for at in range(0, len(h), 1 << 16):
+            s = slice(at, at + (1 << 16))
+            yield pa.RecordBatch.from_arrays([pa.array(h[s]), pa.array(doc[s]), pa.array(ref[s])], names=["h", "doc", "ref"])
+
+    def run(batches):
+        held: dict[int, list] = {}
+        for batch in batches:
+            for b, h, doc, ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if ref is not None:
+                    yield from out(np.frombuffer(h, np.int64), _unpack(doc), _unpack(ref))
+                else:
+                    held.setdefault(b, []).append((h, doc))
+        for b in sorted(held):
+            parts = held.pop(b)
+            h, doc = np.frombuffer(b"".join(p[0] for p in parts), np.int64), np.concatenate([_unpack(p[1]) for p in parts])
+            del parts
+            order = np.lexsort((doc, h))
+            h, doc = h[order], doc[order]
+            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            only, least = h[first], doc[first]
+            had = np.zeros(len(only), bool)
+            for folder in runs:
+                old, owner = _read_bucket(folder, b)
+                if len(old):
+                    at = np.minimum(np.searchsorted(old, only), len(old) - 1)
+                    here = old[at] == only
+                    least = np.where(here, owner[at], least)
+                    had |= here
+            ref = np.repeat(least, np.diff(np.append(first, len(h))))
+            hit = (doc > ref) & (np.concatenate([[True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])]))
+            yield from out(h[hit], doc[hit], ref[hit])
+            if keep is not None:
+                _write_bucket(keep, b, only[~had], least[~had])
+
+    return run
+
+
+def _merge_runs(a: str, b: str, into: str):
+    """Merges the files of two runs, bucket by bucket; the number of windows of each."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            sizes = []
+            for bucket in batch["id"].to_pylist():
+                (h, d), (h2, d2) = _read_bucket(a, bucket), _read_bucket(b, bucket)
+                h, d = np.concatenate([h, h2]), np.concatenate([d, d2])
+                order = np.argsort(h, kind="stable")  # of two sorted parts: one merge
+                if len(h):
+                    _write_bucket(into, bucket, h[order], d[order])
+                sizes.append(len(h))
+            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64())], names=["n"])
+
+    return run
+
+
 class WindowIndex:
     """Runs of window hashes. add() takes the next batch; its documents must not be smaller than those of earlier ones."""
 
     def __init__(self, spark, scratch: C.Scratch, buckets: int, size: int = WINDOW, mask: int = ~0):
         self.spark, self.scratch, self.buckets, self.size, self.mask = spark, scratch, buckets, size, mask
-        self.runs: list[tuple[str, str, int]] = []  # table, folder, rows
+        self.runs: list[tuple[str, int]] = []  # folder, how many batches it holds
         self.hits: list[DataFrame] = []
         self._n = 0
 
-    def _save(self, df: DataFrame, *parts: str) -> tuple[str, str]:
+    def _folder(self) -> str:
         self._n += 1
-        name, folder = f"window_run_{uuid.uuid4().hex}", f"{self.scratch.path}/run-{self._n:04d}"
-        w = df.write.option("path", folder).option("parquet.writer.version", "v2").option("parquet.enable.dictionary", "false").bucketBy(self.buckets, "k").sortBy("k")
-        (w.partitionBy(*parts) if parts else w).saveAsTable(name)
-        return name, folder
-
-    def _run(self, name: str) -> DataFrame:
-        t = self.spark.table(name)
-        return (t.filter("kind = 'new'") if "kind" in t.columns else t).select("k", "doc")
+        return f"{self.scratch.path}/run-{self._n:04d}"
 
     def add(self, docs: DataFrame, keep: bool = True) -> None:
         """Finds the windows of docs (_doc, text) that earlier documents have. keep: the batch becomes a run."""
-        mapped = docs.select("_doc", "text").mapInArrow(_slice_windows(self.size, self.mask), "k long, doc long, h long, ref long")
-        by_hash = Window.partitionBy("k").orderBy("doc")
-        rows = mapped.repartition(self.buckets, "k").withColumn("first", F.first("doc").over(by_hash)).withColumn("nth", F.row_number().over(by_hash))
-        had = []
-        for i, (name, _, _) in enumerate(self.runs):
-            rows = rows.join(self._run(name).withColumnRenamed("doc", f"had{i}"), "k", "left")
-            had.append(F.when(F.col("ref").isNull(), F.col(f"had{i}")))
-        ref = F.coalesce(F.col("ref"), *had, F.when(F.col("first") < F.col("doc"), F.col("first")))
-        out = rows.select("k", "doc", "h", ref.alias("ref"), "nth")
-        kind = F.when(F.col("ref").isNotNull(), F.lit("hit")).when(F.col("nth") == 1, F.lit("new"))
-        out = out.withColumn("kind", kind).filter(F.col("kind").isNotNull() if keep else F.col("kind") == "hit").drop("nth")
-        name, folder = self._save(out, "kind")
-        self.hits.append(self.spark.table(name).filter("kind = 'hit'").select(F.coalesce("h", "k").alias("h"), "doc", "ref"))
+        folder = self._folder() if keep else None
+        windows = docs.select("_doc", "text").mapInArrow(_slice_windows(self.size, self.mask, self.buckets), "b int, h binary, doc binary, ref binary")
+        merged = windows.repartition(self.buckets, "b").mapInArrow(_merge_batch([r for r, _ in self.runs], folder), "h long, doc long, ref long")
+        self.hits.append(self.scratch.keep(merged, "hits"))
         if keep:
-            self.runs.append((name, folder, self._run(name).count()))
+            self.runs.append((folder, 1))
             while len(self.runs) > MOST_RUNS:
                 self._compact()
+        C.free_shuffles(self.spark)
 
     def _compact(self) -> None:
         """Merges the two smallest runs. Their hashes differ, as a batch's run holds none that an earlier run has."""
-        a, b = sorted(self.runs, key=lambda r: r[2])[:2]
-        both = self._run(a[0]).withColumnRenamed("doc", "x").join(self._run(b[0]).withColumnRenamed("doc", "y"), "k", "full")
-        name, folder = self._save(both.select("k", F.coalesce("x", "y").alias("doc")))
-        at = min(self.runs.index(a), self.runs.index(b))
-        self.runs = [r for r in self.runs if r not in (a, b)]
-        self.runs.insert(at, (name, folder, a[2] + b[2]))
-        for _, old, _ in (a, b):
-            self._drop_run(old)
-
-    def _drop_run(self, folder: str) -> None:
-        C.delete(self.spark, f"{folder}/kind=new" if self._has_kinds(folder) else folder)
-
-    def _has_kinds(self, folder: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/kind=new")
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        a, b = sorted(self.runs, key=lambda r: r[1])[:2]
+        into = self._folder()
+        self.spark.range(0, self.buckets, 1, self.buckets).mapInArrow(_merge_runs(a[0], b[0], into), "n long").agg(F.sum("n")).collect()
+        self.runs = [*(r for r in self.runs if r not in (a, b)), (into, a[1] + b[1])]
+        for old, _ in (a, b):
+            C.delete(self.spark, old)
 
     def close(self) -> None:
         """Deletes the runs; the hits stay."""
-        for _, folder, _ in self.runs:
-            self._drop_run(folder)
+        for folder, _ in self.runs:
+            C.delete(self.spark, folder)
         self.runs = []
 
     def all_hits(self) -> DataFrame:
@@ -190,8 +274,14 @@ class WindowIndex:
 # ---- verification and removal ------------------------------------------------------------------------------------
 
 
+def sealed(h: np.ndarray, check: np.ndarray) -> np.ndarray:
+    """One number for both hashes of windows."""
+    with np.errstate(over="ignore"):
+        return C.mix64(h.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ C.mix64(check.view(np.uint64).copy())).view(np.int64)
+
+
 def _second_hashes(size: int, mask: int):
-    """(ref, h, check) of the wanted windows of documents (_doc, text, wanted)."""
+    """(ref, h, seal) of the wanted windows of documents (_doc, text, wanted)."""
     import pyarrow as pa
 
     def run(batches):
@@ -200,27 +290,24 @@ def _second_hashes(size: int, mask: int):
                 for doc, raw, wanted in zip(batch["_doc"].to_pylist(), C.text_bytes(batch["text"]), batch["wanted"], strict=True):
                     h = all_hashes(raw, 0, size, mask)
                     at = np.flatnonzero(np.isin(h, np.asarray(wanted.values)))
-                    pairs = np.unique(np.stack([h[at], all_hashes(raw, 1, size)[at]], 1), axis=0) if len(at) else np.zeros((0, 2), np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pairs), doc, np.int64)), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["ref", "h", "check"])
+                    if not len(at):
+                        continue
+                    h, seal = h[at], sealed(h[at], all_hashes(raw, 1, size)[at])
+                    _, once = np.unique(seal, return_index=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(once), doc, np.int64)), pa.array(h[once]), pa.array(seal[once])], names=["ref", "h", "seal"])
 
     return run
 
 
-def kept_words(raw: bytes, hits: np.ndarray | None, size: int, mask: int) -> tuple[int, int, str]:
-    """Number of words, number removed, digest of those kept. hits: pairs of hashes, one row each."""
+def kept_words(raw: bytes, repeated: np.ndarray | None, size: int, mask: int) -> tuple[int, int, str]:
+    """Number of words, number removed, digest of those kept. repeated: seals of the windows to remove."""
     words = raw.split()  # of bytes: the white space of common.WORD
-    if hits is None or not len(hits) or len(words) < size:
+    if repeated is None or not len(repeated) or len(words) < size:
         return len(words), 0, hashlib.sha256(b" ".join(words)).hexdigest()
-    pair = np.dtype([("h", "<i8"), ("c", "<i8")])
-    own = np.empty(len(words) - size + 1, pair)
-    own["h"], own["c"] = all_hashes(raw, 0, size, mask), all_hashes(raw, 1, size)
-    known = np.sort(np.ascontiguousarray(hits).view(pair).ravel())
-    maybe = np.flatnonzero(np.isin(own["h"], known["h"]))
-    repeated = np.zeros(len(own), bool)
-    repeated[maybe] = np.isin(own[maybe], known)
+    hit = np.flatnonzero(np.isin(sealed(all_hashes(raw, 0, size, mask), all_hashes(raw, 1, size)), repeated))
     cover = np.zeros(len(words) + 1, np.int64)
-    np.add.at(cover, np.flatnonzero(repeated), 1)
-    np.add.at(cover, np.flatnonzero(repeated) + size, -1)
+    np.add.at(cover, hit, 1)
+    np.add.at(cover, hit + size, -1)
     gone = np.cumsum(cover[:-1]) > 0
     left = b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g])
     return len(words), int(gone.sum()), hashlib.sha256(left).hexdigest()
@@ -232,14 +319,11 @@ def _results(size: int, mask: int):
     def run(batches):
         for whole in batches:
             for batch in C.slices(whole):
-                hits = batch["hits"] if "hits" in batch.schema.names else [None] * batch.num_rows
+                seals = batch["seals"] if "seals" in batch.schema.names else [None] * batch.num_rows
                 rows = []
-                for doc, raw, hit in zip(batch["doc_id"].to_pylist(), C.text_bytes(batch["text"]), hits, strict=True):
-                    pairs = None
-                    if hit is not None and hit.is_valid:
-                        v = hit.values
-                        pairs = np.stack([np.asarray(v.field("h")), np.asarray(v.field("check"))], 1)
-                    rows.append((doc, *kept_words(raw, pairs, size, mask)))
+                for doc, raw, seal in zip(batch["doc_id"].to_pylist(), C.text_bytes(batch["text"]), seals, strict=True):
+                    repeated = np.asarray(seal.values) if seal is not None and seal.is_valid else None
+                    rows.append((doc, *kept_words(raw, repeated, size, mask)))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     return run
@@ -264,17 +348,24 @@ def remove_repeats(docs: DataFrame, scratch: C.Scratch, size: int = WINDOW, batc
     index.close()
     hits = index.all_hits()
 
-    wanted = scratch.keep(hits.groupBy("ref").agg(F.collect_set("h").alias("wanted")), "wanted")  # at most the windows of a text
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = scratch.keep(df, name)
+        C.free_shuffles(spark)
+        return out
+
+    wanted = keep(hits.groupBy("ref").agg(F.collect_set("h").alias("wanted")), "wanted")  # at most the windows of a text
     near = C.maybe_in(docs, C.bitmap(wanted, "ref"), "_doc").filter("_maybe").select("_doc", "text")
-    seconds = near.join(wanted, near._doc == wanted.ref).select("_doc", "text", "wanted").mapInArrow(_second_hashes(size, mask), "ref long, h long, check long")
-    seconds = scratch.keep(seconds, "seconds")
-    checked = hits.join(seconds, ["ref", "h"]).select("doc", "h", "check")
-    of_doc = scratch.keep(checked.groupBy("doc").agg(F.collect_set(F.struct("h", "check")).alias("hits")), "hits")
+    seconds = keep(near.join(wanted, near._doc == wanted.ref).select("_doc", "text", "wanted").mapInArrow(_second_hashes(size, mask), "ref long, h long, seal long"), "seconds")
+    scratch.free(wanted)
+    checked = keep(hits.join(seconds, ["ref", "h"]).select("doc", "seal"), "checked")
+    scratch.free(seconds, *index.hits)
+    of_doc = keep(checked.groupBy("doc").agg(F.collect_set("seal").alias("seals")), "hits")
+    scratch.free(checked)
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     marked = C.maybe_in(docs, C.bitmap(of_doc, "doc"), "_doc")
     plain = marked.filter(~F.col("_maybe")).select("doc_id", "text").mapInArrow(_results(size, mask), schema)
-    other = marked.filter("_maybe").join(of_doc, F.col("_doc") == F.col("doc"), "left").select("doc_id", "text", "hits").mapInArrow(_results(size, mask), schema)
+    other = marked.filter("_maybe").join(of_doc, F.col("_doc") == F.col("doc"), "left").select("doc_id", "text", "seals").mapInArrow(_results(size, mask), schema)
     return plain.unionByName(other)
 
 
