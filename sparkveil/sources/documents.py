@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import sys
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,14 @@ from pyspark.sql import functions as F
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """(path, text): one row for each file, bytes as they are, line ends too."""
     raw = spark.read.format("binaryFile").load(path)
-    return raw.select("path", F.decode("content", F.lit("UTF-8")).alias("text"))
+    return raw.select("path", F.decode("content", "UTF-8").alias("text"))
 
 
 def read_input(spark: SparkSession, path: str | None) -> DataFrame:
     """(text): a file, or standard input for None or -."""
     if path in (None, "-"):
         return spark.createDataFrame([(sys.stdin.buffer.read().decode("utf-8"),)], "text string")
-    return read_texts(spark, path).select("text")
+    return read_texts(spark, path if ":" in path else "file://" + os.path.abspath(path)).select("text")
 
 
 def write_output(text: str, path: str | None) -> None:
