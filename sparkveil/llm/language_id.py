@@ -3,7 +3,7 @@
 N-grams of one to three characters (lower case, all but letters as one blank) are hashed to DIMS dimensions. Document
 frequencies are counted over all labelled documents. The weights are learned by follow-the-regularised-leader with an
 elastic-net penalty from a bounded sample of labelled documents, about SAMPLE_PER_LANG for each language, chosen by a
-hash of the id; a fifth of the sample is kept from learning, and on it the temperature that divides the logits is fitted.
+hash of id and text; a fifth of the sample is kept from learning, and on it the temperature that divides the logits is fitted.
 Prediction reads every whole text, very long ones window by window.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any labelled document every text is.
@@ -192,7 +192,7 @@ def train(labelled: DataFrame, scratch: C.Scratch, per_lang: int = SAMPLE_PER_LA
     langs = sorted(sizes)
     if not langs or not df[DIMS]:
         return {"langs": [], "idf": idf, "w": np.zeros((DIMS, 0), np.float32), "b": np.zeros(0), "t": 1.0}
-    order = F.xxhash64(F.lit(6), "doc_id")
+    order = F.xxhash64(F.lit(6), "doc_id", "text")  # of the text too: ids may be null
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / sizes[k])))])
     chosen = labelled.withColumn("_order", order).filter(F.pmod(F.col("_order"), F.lit(1_000_003)) / 1_000_003.0 < F.element_at(share, F.col("lang")))
     rows = scratch.keep(chosen.select("lang", "_order", "text").mapInArrow(_rows_of_counts, "lang string, _order long, at binary, n binary"), "sample")
