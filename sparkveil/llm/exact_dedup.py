@@ -120,7 +120,7 @@ def exact_duplicates(docs: DataFrame, scratch: C.Scratch, prime: int = PRIME) ->
     prints = scratch.keep(fingerprints(docs, prime).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))), "prints")
     keys = ["n_bytes", "f1", "f2"]
     classes = scratch.keep(_best(keys, prints).filter("group_size > 1"), "classes")
-    members = scratch.keep(prints.select("_row", *keys, "_salt").join(classes.select(*keys, "_salt"), [*keys, "_salt"]).select("_row"), "members")
+    members = prints.select("_row", *keys, "_salt").join(classes.select(*keys, "_salt"), [*keys, "_salt"]).select("_row")  # read once, into a bitmap
     wrong = scratch.keep(unequal(docs, members, prime), "wrong")
     if not wrong.isEmpty():  # equal fingerprints of different texts: these classes are told apart by their digests too
         keys = [*keys, "_split"]
