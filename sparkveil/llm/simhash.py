@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from . import jaccard
 from .graph import components
 
 SEGMENTS = 7
@@ -196,8 +197,9 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates stays."""
+    """Pipeline stage: one document of each group of near-duplicates stays, by jaccard's rule: 64 bits can't tell a
+    similarity of 0.8, at which two fingerprints differ in about ten, from a good deal less."""
     scratch = C.Scratch(spark, "stage-simhash")
     rows = C.with_row_id(C.boxed(docs), scratch)
-    dropped = scratch.keep(near_duplicates(rows, scratch).filter("_row <> keep_row").select("_row"), "dropped")
+    dropped = scratch.keep(jaccard.near_duplicates(rows, scratch).filter("_row <> keep_row").select("_row"), "dropped")
     return C.without_rows(rows.select("_doc", "_row"), "_row", dropped).select("_doc.*")

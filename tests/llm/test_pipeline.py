@@ -1,6 +1,12 @@
+import random
 from collections import Counter
 
 import corpus_pipeline as P
+from pyspark.sql import functions as F
+
+from sparkveil.llm import common as C
+from sparkveil.llm import jaccard
+from sparkveil.llm.simhash import stage_simhash
 
 
 def low(t):
@@ -29,3 +35,40 @@ def test_run_on_tables(spark):
     assert {r.doc_id for r in out} <= set(docs) and all(r.decoded_equal and r.n_ids == len(r.ids) for r in out)
     kept = {low(docs[r.doc_id].text) for r in out}
     assert len({r.doc_id for r in out}) == len(kept)  # no two equal texts
+
+
+def test_near_dedup_keeps_one_of_each_group(spark, docs, tmp_path, scratch):
+    """Against all pairs: near copies of five-word similarity 0.8 or more go, in a group larger than jaccard.REACH too."""
+    r = random.Random(8)
+    say = lambda n: [r.choice("bcdfghjk") + r.choice("aeiou") + r.choice("lmnprst") + r.choice("aeiou") for _ in range(n)]
+    texts = []
+    for group in (*[2] * 12, 40):
+        base = say(100)
+        for _ in range(group):
+            w = list(base)
+            for at in r.sample(range(100), r.randint(0, 3)):
+                w[at] = say(1)[0]
+            texts.append(" ".join(w))
+    texts += [texts[0].upper(), texts[0].replace(" ", "\n"), " ".join(say(3)), "a b c", "A  b\tc", "a b d"]
+    path = f"file://{tmp_path}/near.parquet"
+    more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("lang", F.lit("en"))
+    docs.unionByName(more, allowMissingColumns=True).repartition(5).write.parquet(path)
+    rows = spark.read.parquet(path).collect()
+    words = [low(x.text).split() for x in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    root = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if 5 * len(a & b) >= 4 * len(a | b):
+                old, new = root[i], root[j]
+                root = [new if x == old else x for x in root]
+    got = jaccard.near_duplicates(C.with_row_id(spark.read.parquet(path).select("doc_id", "text"), scratch), scratch).collect()
+    assert len(got) == len(rows) and len({g.keep_row for g in got}) == len(set(root))
+    least = {}
+    for i, x in enumerate(rows):
+        at = (x.doc_id is None, x.doc_id)
+        least[root[i]] = min(least.get(root[i], (True, None)), at, key=lambda v: (v[0], v[1] or 0))
+    kept = stage_simhash(spark, spark.read.parquet(path), "").collect()
+    assert sorted(map(str, (x.doc_id for x in kept))) == sorted(str(v[1]) for v in least.values())
+    where = {str(tuple(x)): root[i] for i, x in enumerate(rows)}
+    assert Counter(where[str(tuple(x))] for x in kept) == Counter(set(root))
