@@ -5,7 +5,9 @@ all GRAM consecutive words are winnowed: the least of each WINNOW consecutive ha
 (hash -> template, place). A document's hashes, all of them, are looked up; each hit gives a place of the text at which
 the template would begin. Hits that are close to one another form one candidate, and the template is aligned with that
 part of the text within a band around its hits. A match that has COVERAGE of the template's words is reported with the
-text span from its first to its last matched word; of overlapping matches the one with most matched words stays.
+text span from its first to its last matched word, and the words before and after it are aligned again until none is
+left; of overlapping matches the one with most matched words stays. Where a place of the template comes again among the
+hits of a candidate, as in repeated short notices, each part up to there is a candidate of its own besides.
 
 Any passage that shares GRAM + WINNOW - 1 consecutive words with a template is a candidate. The index is as large as the
 templates, whatever the corpus. Texts are hashed window by window, so that memory doesn't follow their length.
@@ -17,6 +19,7 @@ empty table gives an empty result. Only doc_id and text are read.
 
 from __future__ import annotations
 
+from bisect import bisect, insort
 from functools import cache
 
 import numpy as np
@@ -168,6 +171,35 @@ def _candidates(hits: list[tuple[int, int, int]], sizes: list[int]):
         yield t, held
 
 
+def _parts(held: list[tuple[int, int]]):
+    """A candidate, and its parts, each without a template place twice."""
+    yield held
+    part: list = []
+    seen: set = set()
+    for q, d in held:
+        if q - d in seen:
+            yield part
+            part, seen = [], set()
+        part.append((q, d))
+        seen.add(q - d)
+    if len(part) < len(held):
+        yield part
+
+
+def _matches(template: np.ndarray, word: np.ndarray, low: int, high: int, coverage: float):
+    """(matched words, first and last place in the text) of alignments that reach the coverage and don't overlap."""
+    todo = [(max(0, low), min(len(word), high + len(template)))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo < coverage * len(template):
+            continue
+        got = align(template, word[lo:hi], low - lo, high - lo)
+        if got and len(got) >= coverage * len(template):
+            first, last = lo + got[0][1], lo + got[-1][1]
+            yield len(got), first, last
+            todo += [(lo, first), (last + 1, hi)]
+
+
 def scan(raw: bytes, index: Index, coverage: float = COVERAGE) -> list[tuple[str, float, int, int, int]]:
     """(template, coverage, matched words, first byte, end byte) of the matches in a text."""
     sizes = [len(w) for w in index.words]
@@ -180,17 +212,25 @@ def scan(raw: bytes, index: Index, coverage: float = COVERAGE) -> list[tuple[str
             b += 1
         starts, ends, word = words(raw[a:b])
         hits = index.hits(grams(word))
+        tried = set()
         for t, held in _candidates(hits, sizes) if hits else ():
-            low, high = min(d for _, d in held) - BAND, max(d for _, d in held) + BAND
-            lo, hi = max(0, low), min(len(word), high + sizes[t])
-            got = align(index.words[t], word[lo:hi], low - lo, high - lo)
-            if got and len(got) >= coverage * sizes[t]:
-                found.add((index.names[t], len(got) / sizes[t], len(got), int(a + starts[lo + got[0][1]]), int(a + ends[lo + got[-1][1]])))
+            whole = True
+            for part in _parts(held):
+                low, high = min(d for _, d in part) - BAND, max(d for _, d in part) + BAND
+                # a whole that has parts may be long; these find what is beside its best match
+                got = _matches(index.words[t], word, low, high, coverage) if (t, low, high) not in tried else ()
+                tried.add((t, low, high))
+                for n, first, last in got:
+                    found.add((index.names[t], n / sizes[t], n, int(a + starts[first]), int(a + ends[last])))
+                    if whole and high - low > 2 * (sizes[t] + 2 * BAND):
+                        break
+                whole = False
     chosen: list = []
     for x in sorted(found, key=lambda x: (-x[2], -x[1], x[0], x[3])):
-        if all(x[4] <= y[3] or y[4] <= x[3] for y in chosen):
-            chosen.append(x)
-    return sorted(chosen, key=lambda x: x[3])
+        at = bisect(chosen, x[3], key=lambda y: y[3])
+        if (at == 0 or chosen[at - 1][4] <= x[3]) and (at == len(chosen) or x[4] <= chosen[at][3]):
+            insort(chosen, x, key=lambda y: y[3])
+    return chosen
 
 
 @cache

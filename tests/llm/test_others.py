@@ -328,6 +328,17 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("name", ["MIT/line", "Apache-2.0/line", "CC-BY-4.0/line", "GPL-3.0/line", "GPL-2.0/line"])
+@pytest.mark.parametrize("times", [1, 2, 3, 60])
+@pytest.mark.parametrize("between", ["\n", " bcd dfg ", " bcd" * 9 + " "])
+def test_license_lines_again(name, times, between):
+    """Each of several short notices one after another has its span."""
+    line = licenses.TEMPLATES[name]
+    got = licenses.scan(between.join([line] * times).encode(), licenses.Index(licenses.TEMPLATES))
+    size = len(line) + len(between)
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [(name, 1.0, i * size, i * size + len(line) - 1) for i in range(times)]
+
+
 def test_license_pieces(monkeypatch):
     index = licenses.Index(licenses.TEMPLATES)
     text = ("words " * 300 + licenses.TEMPLATES["GPL-3.0/notice"] + " more " * 300 + licenses.TEMPLATES["MIT/line"]).encode()
