@@ -339,6 +339,15 @@ def test_license_lines_again(name, times, between):
     assert [(g[0], g[1], g[3], g[4]) for g in got] == [(name, 1.0, i * size, i * size + len(line) - 1) for i in range(times)]
 
 
+def test_license_bare_notice():
+    """The bare notice counts, and where the longer form stands, that is the one reported."""
+    index = licenses.Index(licenses.TEMPLATES)
+    got = licenses.scan(b"(c) 2020 bcd. All Rights Reserved.\nAll rights reserved. dfg", index)
+    assert [(g[0], g[1], g[3], g[4]) for g in got] == [("Proprietary/bare", 1.0, 14, 33), ("Proprietary/bare", 1.0, 35, 54)]
+    assert [g[0] for g in licenses.scan(licenses.TEMPLATES["Proprietary/line"].encode(), index)] == ["Proprietary/line"]
+    assert licenses.scan(b"all rights were reserved", index) == []
+
+
 def test_license_pieces(monkeypatch):
     index = licenses.Index(licenses.TEMPLATES)
     text = ("words " * 300 + licenses.TEMPLATES["GPL-3.0/notice"] + " more " * 300 + licenses.TEMPLATES["MIT/line"]).encode()
