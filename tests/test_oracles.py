@@ -36,3 +36,8 @@ def test_query(spark, duck, name):
     assert sorted(cols) == sorted(df.columns)
     want = sorted(tuple(plain(x[cols.index(c)]) for c in sorted(cols)) for x in r.fetchall())
     assert sorted(tuple(plain(x[c]) for c in sorted(cols)) for x in rows) == want
+
+
+def test_charmap_of_every_document(spark):
+    whole = queries.QUERIES["charmap_whole"](spark, SF).select("doc_id").distinct().count()
+    assert whole == queries.X.ja_docs(spark, SF).filter("length(text) > 0").count()
