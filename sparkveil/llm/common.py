@@ -1,11 +1,16 @@
-"""Shared parts of the corpus operators: scratch tables, row identity, membership bitmaps, words."""
+"""Shared parts of the corpus operators: scratch tables, row identity, verdicts on rows, words."""
 
 from __future__ import annotations
 
+import atexit
 import gc
 import re
+import shutil
 import tempfile
 import uuid
+from collections.abc import Callable
+from functools import reduce
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,15 +23,36 @@ SPACES = b" \t\n\x0b\x0c\r"
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[list(SPACES)] = True
 
-#: Bits of a membership bitmap: its table has BITMAP_BITS / 64 rows at most, whatever the input.
+#: Bits of a membership bitmap of ids: its table has BITMAP_BITS / 64 rows at most, whatever the input.
 BITMAP_BITS = 1 << 22
+#: Words of 64 rows whose verdicts are broadcast at once: some 50 MB.
+WORDS = 1 << 20
+#: Bytes of rows that go to a Python worker at once, unless a single row has more.
+BATCH_BYTES = 4 << 20
+#: Rows of a file of a kept table whose size is known beforehand.
+FILE_ROWS = 1 << 18
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+ROW = "struct<f:long,i:long>"
+
+
+def bounded(spark: SparkSession) -> None:
+    """Bounds the batches that this session hands to Python workers by bytes too: texts may be long, and by rows alone a
+    batch would be as large as ten thousand of them."""
+    if spark.conf.get("spark.sparkveil.batches", None) is None:  # set once, so that a caller's own bound stays
+        spark.conf.set("spark.sparkveil.batches", "bounded")
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """URI of the folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a local master gets a
+    temporary folder, which goes when the process ends; on a cluster that is an error, as executors wouldn't see it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="shared-")
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        root = "file://" + own
         spark.conf.set("spark.checkpoint.dir", root)
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     full = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
@@ -53,8 +79,13 @@ class Scratch:
     def __init__(self, spark: SparkSession, what: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
+        bounded(spark)
 
-    def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
+    def keep(self, df: DataFrame, name: str = "t", rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
+        """Writes a table and reads it again. rows: a bound on its rows, if one is known; the table then has a file for
+        each per_file of them, or for each core, and not one for each partition of a shuffle, however empty."""
+        if rows is not None:
+            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // per_file)))
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
         df.write.parquet(path)
@@ -74,12 +105,19 @@ def delete(spark: SparkSession, path: str) -> None:
 
 
 def with_row_id(df: DataFrame, scratch: Scratch, name: str = "_row") -> DataFrame:
-    """Adds a string that names each row of a file table: file and position. It is the same in every scan; doc ids may
-    be null or repeat. A frame that isn't a plain file scan is written first."""
+    """Adds a struct of two numbers (ROW) that names each row of a file table: a hash of its file and the position there.
+    It is the same in every scan; doc ids may be null or repeat. Files whose hashes agree get another seed. A frame that
+    isn't a plain file scan is written first."""
+    path = F.col("_metadata.file_path")
     try:
-        return df.select("*", F.concat_ws("#", "_metadata.file_path", F.col("_metadata.row_index").cast("string")).alias(name))
+        files = df.select(path.alias("p")).distinct()
     except AnalysisException:
         return with_row_id(scratch.keep(df, "rows"), scratch, name)
+    for seed in count():
+        f = F.xxhash64(F.lit(seed), path)
+        there = files.agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.xxhash64(F.lit(seed), "p")).alias("d")).collect()[0]
+        if there.n == there.d:
+            return df.select("*", F.struct(f.alias("f"), F.col("_metadata.row_index").alias("i")).alias(name))
 
 
 def boxed(docs: DataFrame, *more: str) -> DataFrame:
@@ -107,14 +145,55 @@ def maybe_in(df: DataFrame, bits: DataFrame, col: str, name: str = "_maybe") ->
     return d.withColumn(name, hit).drop("_bits")
 
 
-def without_rows(df: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
-    """Rows of df without those of `dropped` (a table of row names). Only rows that the bitmap can't rule out are
-    shuffled for the exact anti join; all others pass straight from the scan."""
-    marked = maybe_in(df, bitmap(dropped, row), row)
-    cols = df.columns
-    sure = marked.filter(~F.col("_maybe")).select(*cols)
-    rest = marked.filter("_maybe").select(*cols).join(dropped.select(row), row, "left_anti").select(*cols)
-    return sure.unionByName(rest)
+def split_rows(df: DataFrame, named: DataFrame, scratch: Scratch, most: int = WORDS, row: str = "_row", rows: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows of df that the table `named` names, and the others. No row leaves the task that scans it: 64 neighbours of a
+    file share a word of bits, and words are broadcast, `most` of them at a time at about, each part with the files that
+    it speaks of. A part reads its own files only, as its filter is on the file. rows: a bound on those of `named`."""
+    at = F.col(f"{row}.i")
+    bits = named.select(F.col(f"{row}.f").alias("_f"), F.shiftright(at, 6).alias("_w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("_b"))
+    words = scratch.keep(bits.groupBy("_f", "_w").agg(F.bit_or("_b").alias("_bits")), "verdicts", rows)
+    parts = max(1, -(-words.count() // most))
+    inside, outside = [], []
+    for k in range(parts):
+        some, those = df, words
+        if parts > 1:
+            some, those = (d.filter(F.pmod(F.col(c), F.lit(parts)) == k) for d, c in ((df, f"{row}.f"), (words, "_f")))
+        d = some.withColumn("_f", F.col(f"{row}.f")).withColumn("_w", F.shiftright(at, 6)).join(F.broadcast(those), ["_f", "_w"], "left")
+        hit = F.call_function("getbit", F.coalesce("_bits", F.lit(0).cast("long")), (at % 64).cast("int")) == 1
+        inside.append(d.filter(hit).select(*df.columns))
+        outside.append(d.filter(~hit).select(*df.columns))
+    return reduce(DataFrame.unionByName, inside), reduce(DataFrame.unionByName, outside)
+
+
+#: Parts of a group of equal keys that are read by tasks of their own.
+SALTS = 64
+
+
+def salted(df: DataFrame, by: str) -> DataFrame:
+    """df with _salt, by which a group of any size is dealt to SALTS tasks."""
+    return df.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
+
+
+def with_least(df: DataFrame, key: str, col: str, name: str, by: str) -> DataFrame:
+    """df with the least `col` of all rows of the same key: by salt first, and joined back by salt, so that a key that
+    holds a third of all rows is no task's alone. by: a column that tells rows of a key apart."""
+    d = salted(df, by)
+    part = d.groupBy(key, "_salt").agg(F.min(col).alias("_least"))
+    whole = part.groupBy(key).agg(F.min("_least").alias(name))
+    return d.join(part.select(key, "_salt").join(whole, key), [key, "_salt"]).drop("_salt")
+
+
+# ---- what a Python worker remembers ----------------------------------------------------------------------------
+
+
+_REMEMBERED: dict[str, Callable[[], None]] = {}
+
+
+def worker_for(what: str, forget: Callable[[], None]) -> None:
+    """Called as an operator begins in a worker, which serves one after another: what others remember there goes."""
+    for other in [k for k in _REMEMBERED if k != what]:
+        _REMEMBERED.pop(other)()
+    _REMEMBERED[what] = forget
 
 
 # ---- words of Arrow text columns -------------------------------------------------------------------------------

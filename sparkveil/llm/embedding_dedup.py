@@ -28,6 +28,8 @@ from .graph import components
 THRESHOLD = 0.98
 #: Components of all vectors of a block together, and its least and greatest expected number of vectors.
 BLOCK_VALUES, LEAST_BLOCK, MOST_BLOCK = 1 << 17, 64, 2048
+#: Rows of a file of vectors.
+SIDE_ROWS = 1 << 14
 #: Rows of a tile that are multiplied at once.
 STRIP = 512
 #: Share of a strip from which its candidates are computed by one product of all rows and columns that have any.
@@ -117,6 +119,7 @@ def _usable(batches):
     """Vectors that can link, as bytes in double precision."""
     import pyarrow as pa
 
+    C.worker_for("embedding_dedup", lambda: None)
     for whole in batches:
         for at in range(0, whole.num_rows, 4096):
             batch = whole.slice(at, 4096)
@@ -165,8 +168,13 @@ def near_duplicates(vectors: DataFrame, scratch: C.Scratch, threshold: float = T
     if not 0 < threshold <= 1 - SLACK:
         raise ValueError("the threshold must lie between 0 and 1")
     rows = C.with_row_id(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label")), scratch)
-    usable = scratch.keep(rows.filter(F.col("label").isNotNull()).mapInArrow(_usable, "_row string, vec_id long, label long, dim int, vec binary"), "usable")
-    classes = scratch.keep(usable.groupBy("label", "dim", "vec").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n")).withColumn("cid", F.monotonically_increasing_id()), "classes")
+    made = rows.filter(F.col("label").isNotNull()).mapInArrow(_usable, f"_row {C.ROW}, vec_id long, label long, dim int, vec binary")
+    usable = scratch.keep(C.salted(made, "_row").withColumn("_vec", F.sha2("vec", 256)), "usable")
+    key = ["label", "_vec"]  # the digest stands for a vector where no product is taken
+    n = usable.count()
+    parts = scratch.keep(usable.groupBy(*key, "_salt").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "parts", n, SIDE_ROWS)
+    whole = parts.groupBy(*key).agg(F.min("least").alias("least"), F.sum("n").alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec"))
+    classes = scratch.keep(whole.withColumn("cid", F.monotonically_increasing_id()), "classes", n, SIDE_ROWS)
     per_block = F.greatest(F.lit(LEAST_BLOCK), F.least(F.lit(MOST_BLOCK), F.lit(block_values) / F.col("dim")))
     blocks = classes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("size")).select("label", "dim", F.ceil(F.col("size") / per_block).cast("int").alias("blocks"))
     dealt = classes.join(blocks, ["label", "dim"]).withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
@@ -175,12 +183,12 @@ def near_duplicates(vectors: DataFrame, scratch: C.Scratch, threshold: float = T
     sides = held.select("label", "dim", "block", "rows", other).select("label", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "rows")
     found = scratch.keep(sides.groupBy("label", "dim", "i", "j").applyInArrow(_tile(threshold), "a long, b long, n long"), "found")
     counts = found.filter("b IS NULL").groupBy(F.col("a").alias("cid")).agg(F.sum("n").alias("others"))
-    roots = components(found.filter("b IS NOT NULL").select("a", "b"), scratch)
-    rooted = classes.join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
-    least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    done = rooted.join(least, "root").join(counts, "cid", "left")
-    done = scratch.keep(done.select("label", "dim", "vec", (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "classes")
-    linked = usable.join(done, ["label", "dim", "vec"]).select("_row", "n_links", "component_id")
+    roots = components(found.filter("b IS NOT NULL").select("a", "b"), scratch, found.count())
+    rooted = classes.select("cid", *key, "n", "least").join(roots, classes.cid == roots.node, "left").withColumn("root", F.coalesce("root", "cid"))
+    done = C.with_least(rooted, "root", "least", "component_id", "cid").join(counts, "cid", "left")
+    done = scratch.keep(done.select(*key, (F.coalesce("others", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"), "done", n)
+    of_part = parts.select(*key, "_salt").join(done, key)  # a vector with many copies is joined part by part
+    linked = usable.select("_row", *key, "_salt").join(of_part, [*key, "_salt"]).select("_row", "n_links", "component_id")
     out = rows.select("_row", "vec_id").join(linked, "_row", "left")
     component = F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))

@@ -50,24 +50,26 @@ def _chunk_rows(prime: int):
     import pyarrow as pa
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        C.worker_for("exact_dedup", lambda: None)
         for whole in batches:
             for batch in C.slices(whole):
-                out = {k: [] for k in ("_row", "doc_id", "n_bytes", "t1", "t2", "text_sha256")}
-                for row, doc, raw in zip(batch["_row"].to_pylist(), batch["doc_id"].to_pylist(), C.text_bytes(batch["text"]), strict=True):
+                out = {k: [] for k in ("place", "n_bytes", "t1", "t2", "text_sha256")}
+                for place, raw in enumerate(C.text_bytes(batch["text"])):
                     raw = raw.lower()  # of bytes: A-Z only
                     digest = hashlib.sha256(raw).hexdigest()
                     for at in range(0, max(1, len(raw)), CHUNK):
                         chunk = raw[at : at + CHUNK]
-                        for k, v in zip(out, (row, doc, len(raw), *(chunk_term(chunk, at, b, prime) for b in BASES), None if at else digest), strict=True):
+                        for k, v in zip(out, (place, len(raw), *(chunk_term(chunk, at, b, prime) for b in BASES), None if at else digest), strict=True):
                             out[k].append(v)
-                yield pa.RecordBatch.from_arrays([pa.array(out["_row"], pa.string()), pa.array(out["doc_id"], pa.int64()), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "t1", "t2")), pa.array(out["text_sha256"], pa.string())], names=list(out))
+                place = pa.array(out.pop("place"), pa.int32())
+                yield pa.RecordBatch.from_arrays([batch["_row"].take(place), batch["doc_id"].take(place), *(pa.array(out[k], pa.int64()) for k in ("n_bytes", "t1", "t2")), pa.array(out["text_sha256"], pa.string())], names=["_row", "doc_id", *out])
 
     return run
 
 
 def fingerprints(docs: DataFrame, prime: int = PRIME) -> DataFrame:
     """(_row, doc_id, n_bytes, f1, f2, text_sha256): one row per row of docs (_row, doc_id, text)."""
-    chunks = docs.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(_chunk_rows(prime), "_row string, doc_id long, n_bytes long, t1 long, t2 long, text_sha256 string")
+    chunks = docs.select("_row", F.col("doc_id").cast("long"), "text").mapInArrow(_chunk_rows(prime), f"_row {C.ROW}, doc_id long, n_bytes long, t1 long, t2 long, text_sha256 string")
     return chunks.groupBy("_row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("n_bytes").alias("n_bytes"),
@@ -104,12 +106,12 @@ def _best(keys: list[str], prints: DataFrame) -> DataFrame:
     return part.select(*keys, "_salt").join(whole, keys)
 
 
-def unequal(docs: DataFrame, members: DataFrame, prime: int) -> DataFrame:
+def unequal(docs: DataFrame, members: DataFrame, prime: int, scratch: C.Scratch, rows: int) -> DataFrame:
     """Fingerprints (n_bytes, f1, f2) that different texts share: the chunks at one place of all texts of a fingerprint
     are equal if the least is the greatest. These are found as the chunks stream by, in each task and then over tasks,
     so that a task sends one pair of chunks for each place, however many copies it has read."""
-    near = C.maybe_in(docs.select("_row", "text"), C.bitmap(members, "_row"), "_row").filter("_maybe").select("text")
-    chunks = near.mapInArrow(_class_chunks(prime), "n_bytes long, f1 long, f2 long, _chunk long, _bytes binary")
+    near, _ = C.split_rows(docs.select("_row", "text"), members, scratch, rows=rows)
+    chunks = near.select("text").mapInArrow(_class_chunks(prime), "n_bytes long, f1 long, f2 long, _chunk long, _bytes binary")
     ends = chunks.groupBy("n_bytes", "f1", "f2", "_chunk").agg(F.min("_bytes").alias("least"), F.max("_bytes").alias("most"))
     return ends.filter("least <> most").select("n_bytes", "f1", "f2").distinct()
 
@@ -119,9 +121,10 @@ def exact_duplicates(docs: DataFrame, scratch: C.Scratch, prime: int = PRIME) ->
     common.with_row_id). `prime` may be lowered in tests to make different texts collide."""
     prints = scratch.keep(fingerprints(docs, prime).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))), "prints")
     keys = ["n_bytes", "f1", "f2"]
-    classes = scratch.keep(_best(keys, prints).filter("group_size > 1"), "classes")
-    members = prints.select("_row", *keys, "_salt").join(classes.select(*keys, "_salt"), [*keys, "_salt"]).select("_row")  # read once, into a bitmap
-    wrong = scratch.keep(unequal(docs, members, prime), "wrong")
+    n = prints.count()
+    classes = scratch.keep(_best(keys, prints).filter("group_size > 1"), "classes", n)
+    members = prints.select("_row", *keys, "_salt").join(classes.select(*keys, "_salt"), [*keys, "_salt"]).select("_row")
+    wrong = scratch.keep(unequal(docs, members, prime, scratch, n), "wrong", n)
     if not wrong.isEmpty():  # equal fingerprints of different texts: these classes are told apart by their digests too
         keys = [*keys, "_split"]
         prints = prints.join(wrong.withColumn("_bad", F.lit(True)), keys[:3], "left").withColumn("_split", F.when(F.col("_bad"), F.col("text_sha256")).otherwise(F.lit("")))
@@ -156,5 +159,7 @@ def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts one document stays."""
     scratch = C.Scratch(spark, "stage-exact")
     rows = C.with_row_id(C.boxed(docs), scratch)
-    dropped = scratch.keep(exact_duplicates(rows, scratch).filter(~F.col("kept")).select("_row"), "dropped")
-    return C.without_rows(rows.select("_doc", "_row"), "_row", dropped).select("_doc.*")
+    found = exact_duplicates(rows, scratch)
+    n = rows.count()
+    dropped = scratch.keep(found.filter(~F.col("kept")).select("_row"), "dropped", n)
+    return C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*")

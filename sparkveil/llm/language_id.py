@@ -3,8 +3,9 @@
 N-grams of one to three characters (lower case, all but letters as one blank) are hashed to DIMS dimensions. Document
 frequencies are counted over all labelled documents. The weights are learned by follow-the-regularised-leader with an
 elastic-net penalty from a bounded sample of labelled documents, about SAMPLE_PER_LANG for each language, chosen by a
-hash of id and text; a fifth of the sample is kept from learning, and on it the temperature that divides the logits is fitted.
-Prediction reads every whole text, very long ones window by window.
+hash of id and text, rows that agree in both counting once; a fifth of the sample is kept from learning, and on it the
+temperature that divides the logits is fitted. The one task that trains reads the sample as a stream, once for each epoch,
+so that it holds the weights and no documents. Prediction reads every whole text, very long ones window by window.
 
 Defined results: a text that is null or has no letter is `und` with score 0; without any labelled document every text is.
 Null labels aren't learned from. A null id counts as the empty string when folds are dealt. Repeated rows get equal
@@ -29,8 +30,9 @@ EPOCHS = 3
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 0.05
 #: Code points that are hashed at once.
 WINDOW = 1 << 20
-#: The pipeline drops documents of no language, and those whose language has less than this probability.
-LEAST_SCORE = 0.3
+#: The pipeline drops documents of no language, and those whose likeliest language has less than this many times the
+#: probability of a guess, 1 in as many as there are languages.
+LEAST_OF_GUESS = 1.2
 
 
 @cache
@@ -128,6 +130,7 @@ def fold(doc_id: Column) -> Column:
 def _frequencies(batches):
     import pyarrow as pa
 
+    C.worker_for("language", lambda: None)
     df, n = np.zeros(DIMS, np.int64), 0
     for whole in batches:
         for batch in C.slices(whole):
@@ -155,26 +158,30 @@ def _rows_of_counts(batches):
 
 
 def _trainer(idf: np.ndarray, langs: list[str]):
+    """Over the sample (_pass, lang, _order, at, n), once for each pass and in the same order: EPOCHS passes learn from
+    four documents of five, the last one takes the logits of the fifth."""
     import pyarrow as pa
 
     def run(batches):
-        docs = []
+        model, w, logits, labels = Ftrl(len(langs)), None, [], []
+        was, i = -1, -1
         for batch in batches:
-            for lang, at, n in zip(*(batch[k].to_pylist() for k in ("lang", "at", "n")), strict=True):
-                c = np.frombuffer(n, "<u4").astype(np.float64)
+            for turn, lang, at, n in zip(*(batch[k].to_pylist() for k in ("_pass", "lang", "at", "n")), strict=True):
+                was, i = turn, i + 1 if turn == was else 0
+                if (i % 5 == 0) != (turn == EPOCHS):
+                    continue
                 at = np.frombuffer(at, "<u4").astype(np.int64)
-                x = (1 + np.log(c)) * idf[at]
-                docs.append((at, (x / np.sqrt(x @ x)).astype(np.float32), langs.index(lang)))
-        model = Ftrl(len(langs))
-        learn = [d for i, d in enumerate(docs) if i % 5]
-        for _ in range(EPOCHS):
-            for d in learn:
-                model.learn(*d)
-        w = model.weights()
-        held = docs[::5]
-        t = temperature([x @ w[at] + w[DIMS] for at, x, _ in held], [y for *_, y in held])
+                x = (1 + np.log(np.frombuffer(n, "<u4").astype(np.float64))) * idf[at]
+                x = (x / np.sqrt(x @ x)).astype(np.float32)
+                if turn < EPOCHS:
+                    model.learn(at, x, langs.index(lang))
+                else:
+                    w = model.weights() if w is None else w
+                    logits.append(x @ w[at] + w[DIMS])
+                    labels.append(langs.index(lang))
+        w = model.weights() if w is None else w
         rows = np.flatnonzero(np.abs(w).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((rows.astype(np.int32), w[rows].astype(np.float32), t))], pa.binary())], names=["model"])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps((rows.astype(np.int32), w[rows].astype(np.float32), temperature(logits, labels)))], pa.binary())], names=["model"])
 
     return run
 
@@ -195,8 +202,10 @@ def train(labelled: DataFrame, scratch: C.Scratch, per_lang: int = SAMPLE_PER_LA
     order = F.xxhash64(F.lit(6), "doc_id", "text")  # of the text too: ids may be null
     share = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / sizes[k])))])
     chosen = labelled.withColumn("_order", order).filter(F.pmod(F.col("_order"), F.lit(1_000_003)) / 1_000_003.0 < F.element_at(share, F.col("lang")))
-    rows = scratch.keep(chosen.select("lang", "_order", "text").mapInArrow(_rows_of_counts, "lang string, _order long, at binary, n binary"), "sample")
-    got = rows.repartition(1).sortWithinPartitions("_order", "at").mapInArrow(_trainer(idf, langs), "model binary").collect()
+    once = chosen.select("lang", "_order", "text").dropDuplicates(["lang", "_order"])
+    rows = scratch.keep(once.mapInArrow(_rows_of_counts, "lang string, _order long, at binary, n binary"), "sample", 4 * per_lang * len(langs), 1 << 12)
+    passes = rows.select(F.explode(F.array(*map(F.lit, range(EPOCHS + 1)))).alias("_pass"), "lang", "_order", "at", "n")
+    got = passes.repartition(1).sortWithinPartitions("_pass", "_order", "lang").mapInArrow(_trainer(idf, langs), "model binary").collect()
     at, w, t = pickle.loads(got[0].model)
     full = np.zeros((DIMS + 1, len(langs)), np.float32)
     full[at] = w
@@ -213,20 +222,21 @@ def predict_one(text: str | None, model: dict) -> tuple[str, float]:
     return model["langs"][k], float(p[k])
 
 
-def predict(docs: DataFrame, model: dict) -> DataFrame:
-    """(doc_id, lang_pred, score) of each row of docs (doc_id, text)."""
+def predict(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
+    """(key, lang_pred, score) of each row of docs (key, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # DIMS rows of one number for each language
 
     def run(batches):
         import pyarrow as pa
 
+        C.worker_for("language", lambda: None)
         for whole in batches:
             for batch in C.slices(whole):
                 got = [predict_one(t, shared.value) for t in batch["text"].to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["doc_id", "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch[key], pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[key, "lang_pred", "score"])
 
-    d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, d.select("doc_id").schema.add("lang_pred", "string").add("score", "double"))
+    d = docs.select(key, "text")
+    return d.mapInArrow(run, d.select(key).schema.add("lang_pred", "string").add("score", "double"))
 
 
 def op6_language_id(spark, sf_dir: str) -> DataFrame:
@@ -235,18 +245,19 @@ def op6_language_id(spark, sf_dir: str) -> DataFrame:
     return predict(docs, model).select("doc_id", (fold(F.col("doc_id")) == 2).alias("held_out"), "lang_pred", "score")
 
 
-def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents of no language, or of one with less than LEAST_SCORE, go."""
-    model = train(docs.select("doc_id", "text", "lang").filter(fold(F.col("doc_id")) != 2), C.Scratch(spark, "stage-lang"))
-    shared = spark.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+def least_score(model: dict) -> float:
+    return min(1.0, LEAST_OF_GUESS / max(1, len(model["langs"])))
 
-    def run(batches):
-        import pyarrow as pa
 
-        for whole in batches:
-            for batch in C.slices(whole):
-                got = [predict_one(t, shared.value) for t in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array([lang != "und" and score >= LEAST_SCORE for lang, score in got], pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pipeline stage: documents of no language, or of one with less than least_score, go. Where nothing could be learned
+    all stay. A null text has no language; rows that repeat share their fate; columns may have any names. Verdicts come
+    back from Python, texts don't."""
+    scratch = C.Scratch(spark, "stage-lang")
+    rows = C.with_row_id(C.boxed(docs), scratch)
+    model = train(docs.select("doc_id", "text", "lang").filter(fold(F.col("doc_id")) != 2), scratch)
+    if not model["langs"]:
+        return docs
+    rejected = predict(rows.select("_row", "text"), model, "_row").filter((F.col("lang_pred") == "und") | (F.col("score") < least_score(model)))
+    dropped = scratch.keep(rejected.select("_row"), "dropped")
+    return C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=dropped.count())[1].select("_doc.*")

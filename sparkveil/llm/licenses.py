@@ -249,11 +249,13 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
     """(doc_id, license, template, coverage, matched_words, start, end): one row for each match in docs (doc_id, text).
     Template names are license/form."""
     key = tuple(sorted((templates or TEMPLATES).items()))
+    C.bounded(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
 
         index = _index(key)
+        C.worker_for("licenses", lambda: None)
         for whole in batches:
             for batch in C.slices(whole):
                 rows = []

@@ -301,11 +301,18 @@ def _coder(shared) -> Coder:
     """The worker's coder for a broadcast model; made once in a worker."""
     key = shared.value["key"]
     _MODELS.setdefault(key, shared.value)
+    C.worker_for("sentencepiece", _forget)
     return _coder_of(key)
 
 
+def _forget() -> None:
+    _coder_of.cache_clear()
+    _MODELS.clear()
+
+
 def _shared(spark, path: str):
     model = load_model(path)
+    C.bounded(spark)
     return spark.sparkContext.broadcast(model | {"key": hash(tuple(sorted(model["pieces"].items())))})
 
 

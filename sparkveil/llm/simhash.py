@@ -74,6 +74,7 @@ def fingerprint(text: bytes) -> int:
 def _fingerprints(batches):
     import pyarrow as pa
 
+    C.worker_for("simhash", lambda: None)
     for whole in batches:
         for batch in C.slices(whole):
             made = [signed(fingerprint(t)) for t in C.text_bytes(batch["text"])]
@@ -180,14 +181,17 @@ def links(distinct: DataFrame, scratch: C.Scratch, small: int = SMALL_BUCKET) ->
 def near_duplicates(docs: DataFrame, scratch: C.Scratch, small: int = SMALL_BUCKET) -> DataFrame:
     """(_row, doc_id, fp, component_id, keep_row) of each row of docs (_row, doc_id, text); keep_row is the row with the
     least id of its group."""
-    prints = scratch.keep(docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, "_row string, doc_id long, fp long"), "prints")
+    made = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, f"_row {C.ROW}, doc_id long, fp long")
+    prints = scratch.keep(C.salted(made, "_row"), "prints")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-    distinct = scratch.keep(prints.groupBy("fp").agg(first.alias("least")), "distinct")
-    roots = components(links(distinct.select("fp"), scratch, small), scratch)
+    parts = scratch.keep(prints.groupBy("fp", "_salt").agg(first.alias("least")), "parts", prints.count())
+    distinct = scratch.keep(parts.groupBy("fp").agg(F.min("least").alias("least")), "distinct", parts.count())
+    n = distinct.count()
+    roots = components(links(distinct.select("fp"), scratch, small), scratch, SEGMENTS * 64 * n)
     rooted = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    groups = rooted.groupBy("root").agg(F.min("least").alias("least"))
-    of_print = scratch.keep(rooted.select("fp", "root").join(groups, "root").select("fp", "least"), "groups")
-    return prints.join(of_print, "fp").select("_row", "doc_id", "fp", F.col("least.doc_id").alias("component_id"), F.col("least._row").alias("keep_row"))
+    groups = scratch.keep(C.with_least(rooted, "root", "least", "first", "fp").select("fp", "first"), "groups", n)
+    of_part = parts.select("fp", "_salt").join(groups, "fp")  # a common fingerprint is joined part by part
+    return prints.join(of_part, ["fp", "_salt"]).select("_row", "doc_id", "fp", F.col("first.doc_id").alias("component_id"), F.col("first._row").alias("keep_row"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
@@ -201,5 +205,7 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     similarity of 0.8, at which two fingerprints differ in about ten, from a good deal less."""
     scratch = C.Scratch(spark, "stage-simhash")
     rows = C.with_row_id(C.boxed(docs), scratch)
-    dropped = scratch.keep(jaccard.near_duplicates(rows, scratch).filter("_row <> keep_row").select("_row"), "dropped")
-    return C.without_rows(rows.select("_doc", "_row"), "_row", dropped).select("_doc.*")
+    found = jaccard.near_duplicates(rows, scratch)
+    n = rows.count()
+    dropped = scratch.keep(found.filter("_row <> keep_row").select("_row"), "dropped", n)
+    return C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*")

@@ -104,6 +104,7 @@ def _slice_windows(size: int, mask: int, buckets: int):
 
     def run(batches):
         turn = 0
+        C.worker_for("substring_dedup", lambda: None)
         for whole in batches:
             for batch in C.slices(whole, SLICE):
                 rows = []

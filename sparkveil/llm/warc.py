@@ -55,9 +55,10 @@ def _address(url: str) -> str:
     return urllib.parse.quote(url, safe="".join(map(chr, range(33, 127))))
 
 
-def build_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """One record. A revisit (refers_to given) leaves the payload out."""
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+def build_record(page: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, size: int | None = None) -> bytes:
+    """One record. A revisit (refers_to given) leaves the payload out; size is then that of the payload, which needn't be
+    there."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if size is None else size)
     block = http if refers_to is not None else http + payload
     head = ["WARC/1.1", f"WARC-Type: {'response' if refers_to is None else 'revisit'}", f"WARC-Record-ID: {record_id(page, digest)}", f"WARC-Date: {DATE}"]
     if url:
@@ -150,6 +151,7 @@ def _write_partition(folder: str):
     import pyarrow as pa
 
     def run(batches):
+        C.worker_for("warc", lambda: None)
         store, base = C.store(folder)
         store.create_dir(base, recursive=True)
 
@@ -164,9 +166,9 @@ def _write_partition(folder: str):
         done, records, size = [], [], 0
         for whole in batches:
             for batch in C.slices(whole):
-                urls, digests, refs = (batch[k].to_pylist() for k in ("url", "payload_digest", "refers_to"))
-                for page, url, raw, digest, ref in zip(batch["page_id"].to_pylist(), urls, C.text_bytes(batch["html"]), digests, refs, strict=True):
-                    records.append(build_record(page, url, raw, digest, ref))
+                urls, sizes, digests, refs = (batch[k].to_pylist() for k in ("url", "_n", "payload_digest", "refers_to"))
+                for page, url, raw, n, digest, ref in zip(batch["page_id"].to_pylist(), urls, C.text_bytes(batch["html"]), sizes, digests, refs, strict=True):
+                    records.append(build_record(page, url, raw, digest, ref, n))
                     size += len(records[-1])
                     if size >= ARCHIVE_BYTES:
                         done.append(close(records))
@@ -189,12 +191,12 @@ def archive_pages(pages: DataFrame, folder: str, scratch: C.Scratch) -> DataFram
     classes = part.groupBy(*keys).agg(F.max("_of").alias("_of"), F.sum("_c").alias("_c")).filter("_c > 1")
     wide = scratch.keep(part.select(*keys, "_salt").join(classes.select(*keys, "_of"), keys), "classes")
     revisits = scratch.keep(signs.join(wide, [*keys, "_salt"]).filter("page_id < _of").select("_row", F.col("_of").alias("refers_to")), "revisits")
-    # only pages that may be revisits are shuffled
-    marked = C.maybe_in(p, C.bitmap(revisits, "_row"), "_row")
-    plain = marked.filter(~F.col("_maybe")).withColumn("refers_to", F.lit(None).cast("long"))
-    other = marked.filter("_maybe").join(revisits, "_row", "left")
-    cols = ["page_id", "url", "html", "refers_to", F.sha1(raw).alias("payload_digest")]
-    both = plain.select(*cols).unionByName(other.select(*cols))
+    # of pages that are revisits, all but the payload is shuffled; no payload is
+    p = p.withColumn("_n", F.octet_length(raw).cast("long")).withColumn("payload_digest", F.sha1(raw))
+    again, first = C.split_rows(p, revisits, scratch)
+    cols = ["page_id", "url", "html", "_n", "payload_digest", "refers_to"]
+    other = again.select("_row", "page_id", "url", "_n", "payload_digest").join(revisits, "_row").withColumn("html", F.lit(None).cast("string"))
+    both = first.withColumn("refers_to", F.lit(None).cast("long")).select(*cols).unionByName(other.select(*cols))
     return scratch.keep(both.mapInArrow(_write_partition(folder), "archive string, n_records long, n_bytes long"), "archives")
 
 
@@ -226,8 +228,11 @@ def _read_partition(folder: str):
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, target_uri, payload) of each record of the
-    archives that the table names; the payload of a revisit is null. Each payload is held against its digest."""
-    dealt = archives.select("archive").repartition(F.col("archive"))
+    archives that the table names; the payload of a revisit is null. Each payload is held against its digest. Tasks are
+    as many as the archives' bytes ask for, at least as many as there are cores, if there are that many archives."""
+    there = archives.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("size")).collect()[0]
+    tasks = min(there.n, max(archives.sparkSession.sparkContext.defaultParallelism, -(-there.size // ARCHIVE_BYTES)))
+    dealt = archives.select("archive").repartition(max(1, tasks))
     return dealt.mapInArrow(_read_partition(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, target_uri string, payload binary")
 
 

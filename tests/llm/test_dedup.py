@@ -121,11 +121,23 @@ def test_ring_theorem():
         assert any((x & simhash.ring(s, simhash.EQUAL)) == 0 and (x & simhash.ring(s, simhash.ONE)).bit_count() <= 1 for s in range(7))
 
 
-def test_components_of_a_long_chain(spark, scratch):
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_components_of_a_long_chain(spark, scratch, small):
     edges = [(i, i + 1) for i in range(100)] + [(200, 205), (205, 203), (7, 7)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), scratch).collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long"), scratch, small=small).collect()}
     assert got == {**dict.fromkeys(range(101), 0), 200: 200, 205: 200, 203: 200}
-    assert graph.components(spark.createDataFrame([], "a long, b long"), scratch).count() == 0
+    assert graph.components(spark.createDataFrame([], "a long, b long"), scratch, small=small).count() == 0
+
+
+def test_roots_of_random_links():
+    rng = np.random.default_rng(6)
+    for n, m in ((50, 30), (400, 380), (400, 2000)):
+        u, v = rng.integers(0, n, (2, m)) * 7 - 90
+        node, root = graph.roots_of(u, v)
+        index = {x: i for i, x in enumerate(node.tolist())}
+        pairs = {frozenset((index[a], index[b])) for a, b in zip(u.tolist(), v.tolist(), strict=True)}
+        want = components_of(len(node), lambda i, j: frozenset((i, j)) in pairs)
+        assert root.tolist() == [int(node[w]) for w in want]
 
 
 def slow_substrings(rows, size):

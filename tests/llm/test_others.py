@@ -361,17 +361,46 @@ def test_license_pieces(monkeypatch):
 # ---- shared parts ------------------------------------------------------------------------------------------------------
 
 
-def test_rows_are_named_and_dropped(spark, docs, scratch):
+@pytest.mark.parametrize("most", [1, 1 << 20])
+def test_rows_are_named_and_split(spark, docs, scratch, most):
+    """In one part and in many, each of which reads files of its own."""
     d = C.with_row_id(docs.select("doc_id", "text"), scratch)
-    names = [r._row for r in d.collect()]
+    names = [tuple(r._row) for r in d.collect()]
     assert len(set(names)) == len(names) == docs.count()
     gone = d.filter("doc_id % 3 = 1").select("_row")
-    left = {r._row for r in C.without_rows(d, "_row", gone).collect()}
-    assert left == set(names) - {r._row for r in gone.collect()}
+    inside, outside = C.split_rows(d, gone, scratch, most)
+    assert sorted(tuple(r._row) for r in inside.collect()) == sorted(tuple(r._row) for r in gone.collect())
+    assert sorted(tuple(r._row) for r in outside.collect()) == sorted(set(names) - {tuple(r._row) for r in gone.collect()})
+    nothing, everything = C.split_rows(d, gone.limit(0), scratch, most)
+    assert nothing.count() == 0 and everything.count() == len(names)
     not_a_file = d.groupBy("doc_id").count()
     assert C.with_row_id(not_a_file, scratch).select("_row").distinct().count() == not_a_file.count()
 
 
+def test_parts_prune_files(spark, docs, scratch):
+    d = C.with_row_id(docs.select("doc_id", "text"), scratch)
+    inside, _ = C.split_rows(d, d.select("_row"), scratch, 1)
+    plan = inside._jdf.queryExecution().executedPlan().toString()
+    assert "metadata" in plan.lower() and inside.count() == d.count()
+    reads = C.split_rows(d, d.select("_row"), scratch)[0]
+    assert reads.count() == d.count()
+
+
+def test_no_local_folder_on_a_cluster():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        C.shared_dir(Session())
+
+
 def test_words_of_buffers():
     import numpy as np
 
