@@ -29,8 +29,8 @@ BITMAP_BITS = 1 << 22
 WORDS = 1 << 20
 #: Bytes of rows that go to a Python worker at once, unless a single row has more.
 BATCH_BYTES = 4 << 20
-#: Rows of a file of a kept table whose size is known beforehand.
-FILE_ROWS = 1 << 18
+#: Rows of a file of a kept table whose size is known beforehand: short ones, and such as are made from whole texts.
+FILE_ROWS, DOC_ROWS = 1 << 18, 1 << 13
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROW = "struct<f:long,i:long>"
 
@@ -73,6 +73,12 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def packed(df: DataFrame, rows: int, per_file: int | None = None) -> DataFrame:
+    """df in a partition for each per_file (DOC_ROWS) of its rows, or for each core, where it has more: so that a table has
+    no file for each partition of a shuffle, however empty. Nothing is shuffled for it."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // (per_file or DOC_ROWS))))
+
+
 class Scratch:
     """Tables written once to the shared folder, so that a lost executor costs a re-read and not a recomputation."""
 
@@ -82,10 +88,9 @@ class Scratch:
         bounded(spark)
 
     def keep(self, df: DataFrame, name: str = "t", rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
-        """Writes a table and reads it again. rows: a bound on its rows, if one is known; the table then has a file for
-        each per_file of them, or for each core, and not one for each partition of a shuffle, however empty."""
+        """Writes a table and reads it again. rows: about how many rows it has, if that is known; see packed()."""
         if rows is not None:
-            df = df.coalesce(max(self.spark.sparkContext.defaultParallelism, -(-rows // per_file)))
+            df = packed(df, rows, per_file)
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
         df.write.parquet(path)

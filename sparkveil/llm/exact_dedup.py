@@ -119,9 +119,9 @@ def unequal(docs: DataFrame, members: DataFrame, prime: int, scratch: C.Scratch,
 def exact_duplicates(docs: DataFrame, scratch: C.Scratch, prime: int = PRIME) -> DataFrame:
     """(_row, doc_id, keep_id, keep_row, group_size, kept, text_sha256) for each row of docs (doc_id, text and _row, see
     common.with_row_id). `prime` may be lowered in tests to make different texts collide."""
-    prints = scratch.keep(fingerprints(docs, prime).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))), "prints")
+    n = docs.count()
+    prints = scratch.keep(fingerprints(docs, prime).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.lit(SALTS))), "prints", n)
     keys = ["n_bytes", "f1", "f2"]
-    n = prints.count()
     classes = scratch.keep(_best(keys, prints).filter("group_size > 1"), "classes", n)
     members = prints.select("_row", *keys, "_salt").join(classes.select(*keys, "_salt"), [*keys, "_salt"]).select("_row")
     wrong = scratch.keep(unequal(docs, members, prime, scratch, n), "wrong", n)
@@ -162,4 +162,4 @@ def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = exact_duplicates(rows, scratch)
     n = rows.count()
     dropped = scratch.keep(found.filter(~F.col("kept")).select("_row"), "dropped", n)
-    return C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*")
+    return C.packed(C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*"), n)

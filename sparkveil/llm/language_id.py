@@ -259,5 +259,6 @@ def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if not model["langs"]:
         return docs
     rejected = predict(rows.select("_row", "text"), model, "_row").filter((F.col("lang_pred") == "und") | (F.col("score") < least_score(model)))
-    dropped = scratch.keep(rejected.select("_row"), "dropped")
-    return C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=dropped.count())[1].select("_doc.*")
+    n = rows.count()
+    dropped = scratch.keep(rejected.select("_row"), "dropped", n, C.DOC_ROWS)
+    return C.packed(C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*"), n)

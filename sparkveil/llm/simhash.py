@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, small: int = SMALL_BUCK
     """(_row, doc_id, fp, component_id, keep_row) of each row of docs (_row, doc_id, text); keep_row is the row with the
     least id of its group."""
     made = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_fingerprints, f"_row {C.ROW}, doc_id long, fp long")
-    prints = scratch.keep(C.salted(made, "_row"), "prints")
+    prints = scratch.keep(C.salted(made, "_row"), "prints", docs.count(), C.DOC_ROWS)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
     parts = scratch.keep(prints.groupBy("fp", "_salt").agg(first.alias("least")), "parts", prints.count())
     distinct = scratch.keep(parts.groupBy("fp").agg(F.min("least").alias("least")), "distinct", parts.count())
@@ -208,4 +208,4 @@ def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = jaccard.near_duplicates(rows, scratch)
     n = rows.count()
     dropped = scratch.keep(found.filter("_row <> keep_row").select("_row"), "dropped", n)
-    return C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*")
+    return C.packed(C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*"), n)

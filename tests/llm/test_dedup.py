@@ -164,11 +164,52 @@ def test_substring_dedup(docs, scratch, size, batches, buckets):
     assert Counter(tuple(r) for r in got.collect()) == slow_substrings(docs.collect(), size)
 
 
-def test_substring_hits_are_verified(docs, scratch):
-    """Hashes of 8 bits collide all the time; what is removed must still be repeated."""
-    want = {k[0]: k for k in slow_substrings(docs.filter("doc_id is not null").collect(), 13)}
-    for r in substring_dedup.remove_repeats(docs.filter("doc_id is not null"), scratch, 13, 2, 2, mask=0xFF).collect():
-        assert r.n_removed <= max(k[2] for k in want.values() if k[0] == r.doc_id) or r.doc_id == 12
+@pytest.mark.parametrize("mask", [0xFF, 0xFFF])
+def test_substring_collisions_hide_nothing(docs, scratch, mask):
+    """Hashes of 8 or 12 bits collide all the time; the result is that of whole hashes."""
+    got = substring_dedup.remove_repeats(docs, scratch, 13, 2, 2, mask=mask)
+    assert Counter(tuple(r) for r in got.collect()) == slow_substrings(docs.collect(), 13)
+
+
+def test_substring_index_goes_on(spark, docs, scratch, monkeypatch):
+    """Documents that come in three calls, each opening the index anew, give the result of one call."""
+    monkeypatch.setattr(substring_dedup, "GROUP", 50)
+    rows = docs.filter("doc_id is not null")
+    ids = sorted(r.doc_id for r in rows.select("doc_id").collect())
+    cuts = [ids[0] - 1, ids[len(ids) // 3], ids[2 * len(ids) // 3], ids[-1]]
+    got, folder = Counter(), f"{scratch.path}/kept-index"
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        new, old = rows.filter(f"doc_id > {lo} AND doc_id <= {hi}"), rows.filter(f"doc_id <= {lo}")
+        index = substring_dedup.WindowIndex(spark, folder, 5)
+        got.update(tuple(r) for r in substring_dedup.remove_repeats(new, scratch, batches=2, index=index, history=old).collect())
+    assert got == slow_substrings(rows.collect(), 13)
+    again = substring_dedup.WindowIndex(spark, folder)
+    assert again.buckets == 5 and len(again.state["runs"]) <= substring_dedup.MOST_RUNS
+    with pytest.raises(ValueError, match="order"):
+        again.add(rows.withColumn("_doc", rows.doc_id), scratch)
+    with pytest.raises(ValueError, match="words"):
+        substring_dedup.WindowIndex(spark, folder, size=5)
+
+
+def test_substring_rows_of_a_slice_are_bounded(spark, scratch):
+    import pyarrow as pa
+
+    text = " ".join(f"w{i}" for i in range(60_000))
+    batch = pa.RecordBatch.from_arrays([pa.array([1], pa.int64()), pa.array([text])], names=["_doc", "text"])
+    index = substring_dedup.WindowIndex(spark, f"{scratch.path}/wide", 250_000)
+    assert index.buckets == substring_dedup.MOST_BUCKETS
+    rows = sum(b.num_rows for b in substring_dedup._slice_windows(13, ~0, index.buckets)([batch]))
+    assert rows <= index.buckets
+
+
+def test_substring_streams_merge():
+    rng = np.random.default_rng(9)
+    for sizes in ((0, 7), (100, 1), (50, 90), (0, 0)):
+        parts = [np.sort(rng.choice(10_000, n, replace=False)) for n in sizes]
+        streams = [[(p[i : i + 8], p[i : i + 8] + 1) for i in range(0, len(p), 8)] for p in parts]
+        got = list(substring_dedup._merged(*streams))
+        h = np.concatenate([g[0] for g in got]) if got else np.zeros(0, int)
+        assert h.tolist() == sorted(np.concatenate(parts).tolist()) and all((d == g + 1).all() for g, d in got)
 
 
 def test_substring_pieces_and_empty(empty, scratch, monkeypatch):
