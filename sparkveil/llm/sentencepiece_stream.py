@@ -7,13 +7,14 @@ merging never joins across their border. So each position keeps a back pointer,
 reaches back no further than the longest one: only back pointers within this window can still be used. When the paths
 from all of them meet in one boundary, the ids before it are final and are handed out; a text is never held as a lattice.
 
-A piece holds spaces only at its start, so that paths always meet before a space that follows other characters. Words
-repeat, and their ids are remembered in a table of bounded size.
+A piece holds spaces only at its start, so that paths always meet before a space that follows other characters: there a
+stream ends and the next one begins. Words repeat, and the ids of short ones are remembered in a table of bounded size.
 
 Defined results: a null text gives null ids, an empty one none; a character that the model lacks becomes the pieces of
 its UTF-8 bytes; so does U+2581, which stands for a space in the model, so that decoding gives each text back exactly.
 Otherwise ids equal those of the sentencepiece library. An empty table gives an empty result. Repeated rows, and null or
-repeated ids, are encoded like any others. Only the named text column is read; a clashing `ids` column is an error.
+repeated ids, are encoded like any others. Only the named text column is read. A column that has the name of a new one is
+replaced by it; if it is the text or the ids that are read, they are read first.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SPACE = "▁"
 REMEMBERED = 180_000
 #: Pieces before a piece for which a worker remembers whether it may follow.
 LEFT_REMEMBERED = 5_000
-#: Longer units are encoded as a stream and aren't remembered.
+#: Longer units aren't remembered.
 LONGEST_WORD = 48
 #: Positions after which a stream looks for a boundary where its paths meet.
 LOOK = 64
@@ -207,13 +208,6 @@ class Coder:
 
     # -- texts --
 
-    def _short(self, unit: str) -> list[str]:
-        """pieces_of for a unit that is held whole."""
-        last, find = [""], self._last
-        for at in range(1, len(unit) + 1):
-            last.append(find(unit, at, 0, last))
-        return self._path(last, len(unit))
-
     def _ids_of(self, pieces) -> tuple[int, ...]:
         known, out = self.pieces, []
         for p in pieces:
@@ -234,7 +228,7 @@ class Coder:
         """Ids of a word, with its leading space if it has one."""
         if (have := self._known.get(unit)) is None:
             if (have := self._older.get(unit)) is None:
-                have = self._ids_of(self.pieces_of(unit) if len(unit) > LONGEST_WORD else self._short(unit))
+                have = self._ids_of(self.pieces_of(unit))
             if len(unit) <= LONGEST_WORD:
                 self._remember(unit, have)
         return have
@@ -318,8 +312,7 @@ def _shared(spark, path: str):
 
 def encode(docs: DataFrame, text: str = "text", model: str = MODEL, check: bool = False) -> DataFrame:
     """docs with `ids` (array of int). check: also `decoded_equal`, whether decoding gives the text back."""
-    if {"ids", "decoded_equal"} & set(docs.columns):
-        raise ValueError("a column named ids or decoded_equal is there already")
+    docs, text, added = _without(docs, text, ["ids", "decoded_equal"][: 1 + check])
     spark, names = docs.sparkSession, docs.columns
     shared = _shared(spark, model)
 
@@ -344,16 +337,22 @@ def encode(docs: DataFrame, text: str = "text", model: str = MODEL, check: bool
                         flat = []
                 chunks.append(pa.array(flat, pa.int32()))
                 lists = pa.ListArray.from_arrays(pa.array([None if texts[i] is None else at[i] for i in range(len(texts))] + at[-1:], pa.int32()), pa.concat_arrays(chunks))
-                yield pa.RecordBatch.from_arrays([*batch.columns, lists, *([pa.array(equal, pa.bool_())] if check else [])], names=[*names, "ids", *(["decoded_equal"] if check else [])])
+                yield pa.RecordBatch.from_arrays([*batch.columns, lists, *([pa.array(equal, pa.bool_())] if check else [])], names=[*names, *added])
 
     more = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded_equal", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more[: 1 + check]]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more[: 1 + check]])).drop("_read")
+
+
+def _without(df: DataFrame, read: str, new: list[str]) -> tuple[DataFrame, str, list[str]]:
+    """df without columns that have new ones' names, the name of the column to read, and those of the new ones."""
+    if read in new:
+        df, read = df.withColumnRenamed(read, "_read"), "_read"
+    return df.drop(*new), read, new
 
 
 def decode(tokens: DataFrame, ids: str = "ids", to: str = "text", model: str = MODEL) -> DataFrame:
     """tokens with a text column made from ids; null ids give null."""
-    if to in tokens.columns:
-        raise ValueError(f"a column named {to} is there already")
+    tokens, ids, _ = _without(tokens, ids, [to])
     names = tokens.columns
     shared = _shared(tokens.sparkSession, model)
 
@@ -365,7 +364,7 @@ def decode(tokens: DataFrame, ids: str = "ids", to: str = "text", model: str = M
             made = [None if x is None else coder.decode(x) for x in batch.column(names.index(ids)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*names, to])
 
-    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(to, T.StringType())]))
+    return tokens.mapInArrow(run, T.StructType([*tokens.schema.fields, T.StructField(to, T.StringType())])).drop("_read")
 
 
 def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
@@ -374,5 +373,6 @@ def op10_sentencepiece(spark, sf_dir: str) -> DataFrame:
 
 
 def stage_sentencepiece(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the ids of each document, and whether they decode to its text."""
+    """Pipeline stage: the ids of each document, and whether they decode to its text. A null text has null ids; a document
+    that comes again is encoded again; an empty table gives an empty result; further columns aren't read."""
     return encode(docs.select("doc_id", "source", "text"), check=True).select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_ids"), "decoded_equal")
