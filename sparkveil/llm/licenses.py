@@ -7,10 +7,12 @@ the template would begin. Hits that are close to one another form one candidate,
 part of the text within a band around its hits. A match that has COVERAGE of the template's words is reported with the
 text span from its first to its last matched word, and the words before and after it are aligned again until none is
 left; of overlapping matches the one with most matched words stays. Where a place of the template comes again among the
-hits of a candidate, as in repeated short notices, each part up to there is a candidate of its own besides.
+hits of a candidate, as in repeated short notices, each part up to there is a candidate of its own besides. A template
+of more than LONG words, such as a whole license, repeats phrases within itself; its hits are gathered by diagonal, and
+those of one strip of diagonals are a candidate if they are a SHARE of its fingerprints.
 
-Any passage that shares GRAM + WINNOW - 1 consecutive words with a template is a candidate. The index is as large as the
-templates, whatever the corpus. Texts are hashed window by window, so that memory doesn't follow their length.
+Any passage that shares GRAM + WINNOW - 1 consecutive words with a shorter template is a candidate. The index is as large
+as the templates, whatever the corpus. Texts are hashed window by window, so that memory doesn't follow their length.
 
 Defined results: a null or empty text has no match; offsets count code points, from 0, the end excluded; ties go to the
 larger coverage, then to the template that comes first by name. Rows that repeat, and null ids, get rows of their own. An
@@ -21,6 +23,7 @@ from __future__ import annotations
 
 from bisect import bisect, insort
 from functools import cache
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,8 +36,10 @@ COVERAGE = 0.8
 #: Words by which an alignment may leave the diagonals of its hits, and by which hits of one candidate may lie apart.
 BAND = 16
 #: Bytes of a text in which matches are looked for at once; neighbours overlap by more than the longest template.
-PIECE, OVERLAP = 4 << 20, 64 << 10
+PIECE, OVERLAP = 4 << 20, 128 << 10
 MATCH, GAP = 4, 1
+#: Words of a long template, width of its strips of diagonals, and the share of its fingerprints that a strip must hold.
+LONG, STRIP, SHARE = 400, 128, 0.1
 
 # Public license notices, by SPDX name and form.
 TEMPLATES = {
@@ -64,6 +69,10 @@ TEMPLATES = {
     "Unlicense/text": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Whole licenses, as published, by SPDX name.
+_WHOLE = {"Apache-2.0": "Apache-2.0", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.1": "LGPL-2.1", "LGPL-3.0": "LGPL-3", "MPL-2.0": "MPL-2.0"}
+TEMPLATES |= {f"{name}/whole": (Path(__file__).parent / "license_texts" / f"{file}.txt").read_text(encoding="utf-8") for name, file in _WHOLE.items()}
+
 _BETWEEN = np.array([not (b >= 128 or chr(b).isalnum()) for b in range(256)])
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
@@ -109,12 +118,13 @@ class Index:
         rows.sort()
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.template, self.place = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.hash & np.uint64(0xFFFF)).astype(np.int64)] = True
+        self.prints = np.bincount(self.template, minlength=len(self.names))
+        self.seen = np.zeros(1 << 18, bool)
+        self.seen[(self.hash % np.uint64(len(self.seen))).astype(np.int64)] = True
 
     def hits(self, g: np.ndarray) -> list[tuple[int, int, int]]:
         """(template, place in it, place in the text) of each gram that the index holds."""
-        at = np.flatnonzero(self.seen[(g & np.uint64(0xFFFF)).astype(np.int64)])
+        at = np.flatnonzero(self.seen[(g & np.uint64(len(self.seen) - 1)).astype(np.int64)])
         lo, hi = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
         out = []
         for q, a, b in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True):
@@ -156,12 +166,34 @@ def align(template: np.ndarray, text: np.ndarray, low: int, high: int) -> list[t
     return out[::-1]
 
 
-def _candidates(hits: list[tuple[int, int, int]], sizes: list[int]):
-    """(template, least and greatest diagonal, first and last place) of hits of a template that lie near one another."""
+def _strips(found: list[tuple[int, int]], size: int, least: float):
+    """Hits (place in the text, diagonal) of a long template, by strips of diagonals that overlap by half, and within a
+    strip by stretches of the text; only those that are enough."""
+    strips: dict[int, list] = {}
+    for x in found if len(found) >= least else ():
+        for k in (x[1] // (STRIP // 2), x[1] // (STRIP // 2) + 1):
+            strips.setdefault(k, []).append(x)
+    for strip in strips.values():
+        held: list = []
+        for x in sorted(strip):
+            if held and x[0] - held[-1][0] > size:
+                if len(held) >= least:
+                    yield held
+                held = []
+            held.append(x)
+        if len(held) >= least:
+            yield held
+
+
+def _candidates(hits: list[tuple[int, int, int]], sizes: list[int], prints: np.ndarray):
+    """(template, hits of it that lie near one another)."""
     group: dict[int, list] = {}
     for t, p, q in hits:
         group.setdefault(t, []).append((q, q - p))
     for t, found in group.items():
+        if sizes[t] > LONG:
+            yield from ((t, held) for held in _strips(found, sizes[t], SHARE * prints[t]))
+            continue
         found.sort()
         held = [found[0]]
         for x in found[1:]:
@@ -214,9 +246,9 @@ def scan(raw: bytes, index: Index, coverage: float = COVERAGE) -> list[tuple[str
         starts, ends, word = words(raw[a:b])
         hits = index.hits(grams(word))
         tried = set()
-        for t, held in _candidates(hits, sizes) if hits else ():
+        for t, held in _candidates(hits, sizes, index.prints) if hits else ():
             whole = True
-            for part in _parts(held):
+            for part in _parts(held) if sizes[t] <= LONG else [held]:
                 low, high = min(d for _, d in part) - BAND, max(d for _, d in part) + BAND
                 # a whole that has parts may be long; these find what is beside its best match
                 got = _matches(index.words[t], word, low, high, coverage) if (t, low, high) not in tried else ()

@@ -314,7 +314,7 @@ def test_license_scan(spark):
     noise = lambda n: " ".join("".join(r.choice("bcdfg") for _ in range(5)) for _ in range(n))
     index = licenses.Index(licenses.TEMPLATES)
     rows = []
-    for i, (name, text) in enumerate(licenses.TEMPLATES.items()):
+    for i, (name, text) in enumerate(x for x in licenses.TEMPLATES.items() if not x[0].endswith("/whole")):
         w = text.split()
         for k in range(3):
             changed = [x for x in w if k == 0 or r.random() > 0.06]
@@ -335,15 +335,34 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("name", ["MIT/line", "Apache-2.0/line", "CC-BY-4.0/line", "GPL-3.0/line", "GPL-2.0/line"])
-@pytest.mark.parametrize("times", [1, 2, 3, 60])
+INDEX = licenses.Index(licenses.TEMPLATES)
+
+
+@pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES if not n.endswith("/whole")])
 @pytest.mark.parametrize("between", ["\n", " bcd dfg ", " bcd" * 9 + " "])
-def test_license_lines_again(name, times, between):
-    """Each of several short notices one after another has its span."""
-    line = licenses.TEMPLATES[name]
-    got = licenses.scan(between.join([line] * times).encode(), licenses.Index(licenses.TEMPLATES))
-    size = len(line) + len(between)
-    assert [(g[0], g[1], g[3], g[4]) for g in got] == [(name, 1.0, i * size, i * size + len(line) - 1) for i in range(times)]
+def test_license_notices_again(name, between):
+    """Each of several notices one after another has its span: all of them, and no other."""
+    line = licenses.TEMPLATES[name].strip()
+    size, end = len((line + between).encode()), len(line.rstrip('.!"/').encode())
+    for times in (1, 2, 3, 7, 50):
+        got = licenses.scan(between.join([line] * times).encode(), INDEX)
+        assert [(g[0], g[1], g[3], g[4]) for g in got] == [(name, 1.0, i * size, i * size + end) for i in range(times)]
+
+
+@pytest.mark.parametrize("name", [n for n in licenses.TEMPLATES if n.endswith("/whole")])
+def test_whole_licenses(name):
+    """A license among other words, twice, the second time with words changed and left out."""
+    r = random.Random(4)
+    noise = lambda n: " ".join("".join(r.choice("bcdfg") for _ in range(5)) for _ in range(n))
+    text = licenses.TEMPLATES[name].strip()
+    changed = [w if r.random() > 0.02 else "bcdfg" for w in text.split() if r.random() > 0.01]
+    raw = f"{noise(300)}\n{text}\n{noise(200)}\n{' '.join(changed)}\n{noise(90)}".encode()
+    got = [g for g in licenses.scan(raw, INDEX) if g[2] > 300]
+    assert [g[0] for g in got] == [name, name] and got[0][1] == 1.0 and got[1][1] > 0.9
+    spans = [raw[g[3] : g[4]].decode() for g in got]
+    assert licenses.words(spans[0].encode())[2].tolist() == INDEX.words[INDEX.names.index(name)].tolist()
+    assert abs(len(spans[1]) - len(" ".join(changed))) < 200
+    assert licenses.scan(noise(3000).encode(), INDEX) == []
 
 
 def test_license_bare_notice():
