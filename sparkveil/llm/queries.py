@@ -8,7 +8,7 @@ from .language_id import op6_language_id
 from .licenses import op9_license_scan
 from .mixing import OP3_SQL, op3_mixing
 from .sentencepiece_stream import op10_sentencepiece
-from .sharding import op5_sharding
+from .sharding import OP5_SQL, op5_sharding
 from .simhash import op8_simhash
 from .substring_dedup import OP2_SQL, op2_substring_dedup
 from .warc import OP1_SQL, op1_warc
@@ -30,5 +30,6 @@ ORACLES = {
     "op2_substring_dedup": OP2_SQL,
     "op3_mixing": OP3_SQL,
     "op4_embedding_dedup": OP4_SQL,
+    "op5_sharding": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
 }

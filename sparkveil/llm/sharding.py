@@ -5,7 +5,8 @@ shard and slot are position mod and div the number of shards. So shards differ b
 places, and the place of any row number can be computed without touching another row.
 
 The permutation: numbers are split into two digits of base s, the least with s * s >= n, and go through ROUNDS rounds
-(left, right) -> (right, (left + h(right, key)) mod s). A result of n or more goes through again until it is below n
+(left, right) -> (right, (left + h(right, key)) mod s), where h is the first HASH_DIGITS hexadecimal digits of the MD5 of
+"right:key". A result of n or more goes through again until it is below n
 (cycle walking). At most s * s - n numbers lie above, so that the walk ends.
 
 Defined results: a null text has size 1 and the checksum of an empty text; null and repeated ids are numbered like any
@@ -23,7 +24,7 @@ from pyspark.sql.window import Window
 
 from . import common as C
 
-ROUNDS = 6
+ROUNDS, HASH_DIGITS = 6, 13
 SEED = 20_240_229
 #: Walks within one expression; further ones, for the few rows that need them, are steps of the plan.
 WALKS = 8
@@ -47,6 +48,11 @@ def numbered(rows: DataFrame, order: list[str], scratch: C.Scratch) -> DataFrame
     return kept.join(F.broadcast(before), "_part").withColumn("_n", F.col("_before") + F.col("_in")).drop("_part", "_in", "_at", "_before")
 
 
+def _round(right: Column, key: Column) -> Column:
+    digest = F.md5(F.concat(right.cast("string"), F.lit(":"), key.cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, HASH_DIGITS), 16, 10).cast("long")
+
+
 def feistel(x: Column, side: int, seed: int = SEED, rounds: int = ROUNDS) -> Column:
     """One pass of the permutation of 0 .. side * side - 1."""
     s = F.lit(side).cast("long")
@@ -55,7 +61,7 @@ def feistel(x: Column, side: int, seed: int = SEED, rounds: int = ROUNDS) -> Col
     return F.aggregate(
         keys,
         start,
-        lambda a, k: F.struct(a["r"].alias("l"), F.pmod(a["l"] + F.pmod(F.xxhash64(a["r"], k), s), s).alias("r")),
+        lambda a, k: F.struct(a["r"].alias("l"), ((a["l"] + _round(a["r"], k) % s) % s).alias("r")),
         lambda a: a["l"] * s + a["r"],
     )
 
@@ -86,3 +92,20 @@ def op5_sharding(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = shard_rows(docs, 16, C.Scratch(spark, "op5"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+OP5_SQL = f"""
+WITH RECURSIVE
+ t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS crc_of),
+ d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 1 AS size,
+              list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS bytes FROM documents),
+ c AS (SELECT doc_id, size, xor(list_reduce(bytes, lambda c, x: xor(c >> 8, crc_of[(xor(c, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) AS crc FROM d, t),
+ m AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS x, count(*) OVER () AS n FROM c),
+ s AS (SELECT *, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1 AS side FROM m),
+ w AS (SELECT x, n, side, x // side AS l, x % side AS r, 0 AS k FROM s
+       UNION ALL
+       SELECT x, n, side, r, (l + CAST('0x' || substr(md5(CAST(r AS VARCHAR) || ':' || CAST({SEED} + k % {ROUNDS} AS VARCHAR)), 1, {HASH_DIGITS}) AS BIGINT) % side) % side, k + 1
+       FROM w WHERE k = 0 OR k % {ROUNDS} <> 0 OR l * side + r >= n)
+SELECT s.doc_id, s.size, s.crc AS text_crc32, 'rows' AS law, CAST((w.l * w.side + w.r) % 16 AS INT) AS shard, (w.l * w.side + w.r) // 16 AS slot, CAST(NULL AS INT) AS grown_shard
+FROM s JOIN w ON s.x = w.x WHERE w.k > 0 AND w.k % {ROUNDS} = 0 AND w.l * w.side + w.r < w.n
+"""

@@ -1,12 +1,13 @@
 import hashlib
 import io
+import math
 import random
 import struct
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
-import xxhash
+from pyspark.sql import functions as F
 
 from sparkveil.llm import common as C
 from sparkveil.llm import language_id, licenses, mixing, sharding, warc
@@ -156,13 +157,6 @@ def test_mixing_stage_and_empty(spark, docs, empty, scratch):
 # ---- sharding ----------------------------------------------------------------------------------------------------------
 
 
-def spark_hash(*longs):
-    h = 42
-    for x in longs:
-        h = xxhash.xxh64_intdigest(struct.pack("<q", x), h)
-    return h - (1 << 64) if h >= 1 << 63 else h
-
-
 def slow_place(x, n, seed=sharding.SEED):
     side = 1
     while side * side < n:
@@ -170,7 +164,7 @@ def slow_place(x, n, seed=sharding.SEED):
     while True:
         left, right = divmod(x, side)
         for k in range(sharding.ROUNDS):
-            left, right = right, (left + spark_hash(right, seed + k) % side) % side
+            left, right = right, (left + int(hashlib.md5(f"{right}:{seed + k}".encode()).hexdigest()[:13], 16)) % side
         x = left * side + right
         if x < n:
             return x
@@ -230,6 +224,120 @@ def test_language_id_edges(spark, docs, empty, scratch):
     assert kept.columns == docs.columns and 0 < kept.count() < docs.count()
 
 
+def slow_counts(text):
+    """Character n-grams one by one."""
+    out, code = Counter(), [ord(c) if c.isalpha() else 32 for c in text.lower()]
+    for n in language_id.ORDERS:
+        for i in range(len(code) - n + 1):
+            if all(c == 32 for c in code[i : i + n]):
+                continue
+            h = (code[i] * 0x9E3779B1 + n) % 2**32
+            for c in code[i + 1 : i + n]:
+                h = ((h ^ h >> 15) * 0x85EBCA6B + c * 0xC2B2AE35) % 2**32
+            h = (h ^ h >> 16) * 0x7FEB352D % 2**32
+            out[h >> 16] += 1
+    return out if any(c != 32 for c in code) else None
+
+
+def slow_model(rows, per_lang):
+    """Frequencies, sample, FTRL-proximal and temperature, by dictionaries and loops. rows: (order, text, lang)."""
+    counted = [(o, slow_counts(t or ""), k) for o, t, k in rows if k is not None]
+    n_docs = sum(c is not None for _, c, _ in counted)
+    df = Counter(d for _, c, _ in counted if c for d in c)
+    langs = sorted({k for _, _, k in counted})
+    share = {k: min(1.0, per_lang / sum(x == k for _, _, x in counted)) for k in langs}
+    sample = sorted({(o, k): c for o, c, k in counted if o % 1_000_003 / 1_000_003.0 < share[k]}.items())
+    sample = [(c, langs.index(k)) for (_, k), c in sample if c]
+    idf = lambda d: math.log((1 + n_docs) / (1 + df[d])) + 1
+
+    def vector(c):
+        x = {d: (1 + math.log(n)) * idf(d) for d, n in c.items()}
+        size = math.sqrt(sum(v * v for v in x.values()))
+        return {d: v / size for d, v in x.items()} | {-1: 1.0}
+
+    z, g2 = defaultdict(float), defaultdict(float)
+
+    def weight(d, k):
+        a = z[d, k]
+        if abs(a) <= language_id.L1:
+            return 0.0
+        return -(a - math.copysign(language_id.L1, a)) / ((language_id.BETA + math.sqrt(g2[d, k])) / language_id.ALPHA + language_id.L2)
+
+    def probabilities(x, t=1.0):
+        s = [sum(v * weight(d, k) for d, v in x.items()) / t for k in range(len(langs))]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e], s
+
+    for _ in range(language_id.EPOCHS):
+        for i, (c, y) in enumerate(sample):
+            if i % 5 == 0:
+                continue
+            x = vector(c)
+            p, _ = probabilities(x)
+            for d, v in x.items():
+                for k in range(len(langs)):
+                    g, w, was = v * (p[k] - (k == y)), weight(d, k), g2[d, k]
+                    z[d, k] += g - (math.sqrt(was + g * g) - math.sqrt(was)) / language_id.ALPHA * w
+                    g2[d, k] = was + g * g
+    held = [(probabilities(vector(c))[1], y) for c, y in sample[::5]]
+    wrong = 1 / (len(held) + 2)
+
+    def loss(t):
+        total = 0.0
+        for s, y in held:
+            s = [v / t for v in s]
+            top = max(s) + math.log(sum(math.exp(v - max(s)) for v in s))
+            total += sum((1 - wrong if k == y else wrong / (len(langs) - 1)) * (top - v) for k, v in enumerate(s))
+        return total
+
+    t = min((math.exp(math.log(0.05) + i * (math.log(20) - math.log(0.05)) / 400) for i in range(401)), key=loss) if held and len(langs) > 1 else 1.0
+    return lambda text: ("und", 0.0) if (c := slow_counts(text or "")) is None else max(zip(probabilities(vector(c), t)[0], langs, strict=True))[::-1], loss
+
+
+def test_language_id_against_a_plain_version(spark, scratch):
+    """Weights and calibration learned from a sample, number by number."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "lang", F.substring("text", 1, 400).alias("text"))
+    rows = docs.select((F.xxhash64(F.lit(6), "doc_id", "text")).alias("o"), "text", "lang").collect()
+    model = language_id.train(docs, scratch, per_lang=25)
+    slow, loss = slow_model([(r.o, r.text, r.lang) for r in rows], 25)
+    best = min(loss(math.exp(math.log(0.05) + i * (math.log(20) - math.log(0.05)) / 400)) for i in range(401))
+    assert loss(model["t"]) <= best + 1e-6
+    for r in rows[:60]:
+        (lang, score), (want, p) = language_id.predict_one(r.text, model), slow(r.text)
+        assert lang == want and abs(score - p) < 0.02, (lang, score, want, p)
+
+
+def test_language_id_counts():
+    for text in ("Straße und İstanbul, 12 élan", "a", " b ", "12 !!", "x y z"):
+        c, want = language_id.counts(text), slow_counts(text)
+        assert (None if c is None else Counter({int(d): int(c[d]) for d in c.nonzero()[0]})) == want
+
+
+def test_language_id_repeated_rows_bound_the_sample(spark, tmp_path, scratch):
+    """A row that comes a thousand times counts once in the sample."""
+    path = f"file://{tmp_path}/same.parquet"
+    rows = [(None, "the same words again", "en")] * 1000 + [(i, f"d'autres mots {i}", "fr") for i in range(40)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(path)
+    model = language_id.train(spark.read.parquet(path), scratch, per_lang=1000)
+    assert model["langs"] == ["en", "fr"] and language_id.predict_one("the words", model)[0] == "en"
+    sample = spark.read.parquet(f"{scratch.path}/*-sample")
+    assert sample.filter("lang = 'en'").count() == 1
+
+
+def test_language_stage_against_a_plain_version(spark, docs):
+    """The stage keeps what one prediction after another keeps; with nothing to learn from it keeps all."""
+    kept = language_id.stage_language_id(spark, docs, "").collect()
+    model = language_id.train(docs.select("doc_id", "text", "lang").filter(language_id.fold(F.col("doc_id")) != 2), C.Scratch(spark, "plain"))
+    want = []
+    for r in docs.collect():
+        lang, score = language_id.predict_one(r.text, model)
+        if lang != "und" and score >= 1.2 / 2:
+            want.append(r)
+    assert Counter(map(str, kept)) == Counter(map(str, want)) and 0 < len(want) < docs.count()
+    nothing = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert language_id.stage_language_id(spark, nothing, "").count() == docs.count()
+
+
 def test_windows_count_like_whole_texts(monkeypatch):
     text = "Straße und İstanbul, 12 élan " * 50
     whole = language_id.counts(text)

@@ -14,7 +14,11 @@ def low(t):
 
 
 def test_stages(spark, docs, scratch):
-    """Each stage against a plain version of its decision."""
+    """One after another. Plain versions of the decisions: of language ID and mixing in test_others, of near-dedup below,
+    of exact dedup and tokens here."""
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "simhash_near_dedup", "mixing", "sentencepiece"]
     at = docs
     for name, stage in P.STAGES[:-1]:
@@ -27,6 +31,8 @@ def test_stages(spark, docs, scratch):
             assert Counter(low(r.text) for r in after) == Counter({low(r.text): 1 for r in before})
     out = P.STAGES[-1][1](spark, at, "").collect()
     assert len(out) == at.count() and all(r.decoded_equal for r in out)
+    want = Counter((r.doc_id, tuple(library.encode(r.text))) for r in at.collect() if len(r.text) < 10_000)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in out if (r.doc_id, tuple(r.ids)) in want) == want
 
 
 def test_run_on_tables(spark):
