@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline as P
+import numpy as np
 from pyspark.sql import functions as F
 
 from sparkveil.llm import common as C
@@ -78,3 +79,14 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, tmp_path, scratch):
     assert sorted(map(str, (x.doc_id for x in kept))) == sorted(str(v[1]) for v in least.values())
     where = {str(tuple(x)): root[i] for i, x in enumerate(rows)}
     assert Counter(where[str(tuple(x))] for x in kept) == Counter(set(root))
+
+
+def test_bitmaps_never_rule_out_what_is_similar():
+    """Bits that differ are no more than the shingles of one set only, for bitmaps of any two lengths."""
+    rng = np.random.default_rng(5)
+    for n, m, both in ((0, 0, 0), (1, 0, 0), (60, 70, 50), (900, 1100, 880), (5000, 300, 200), (3000, 3000, 0)):
+        x = rng.choice(1 << 62, n + m - both, replace=False).astype(np.uint64) if n + m else np.zeros(0, np.uint64)
+        a, b = x[:n], x[n - both :]
+        d = jaccard.apart(jaccard.wide(a), jaccard.wide(b))
+        assert d <= n + m - 2 * both and d == jaccard.apart(jaccard.wide(b), jaccard.wide(a))
+    assert d > 1500
