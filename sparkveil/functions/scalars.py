@@ -128,15 +128,17 @@ def additions(answer: Column) -> Column:
     return F.filter(named, lambda i: i["text"] != "")
 
 
+PROMPT = (
+    "次の本文から、取引先・人物・案件を特定できる固有名詞のうち、まだマスクされていないものだけを挙げてください。\n"
+    '答えは JSON のみ: {"additions":[{"text":"本文にある語","type":"PERSON|ORGANIZATION"}]}。\n'
+    "本文に一字一句存在する語に限り、一般名詞・地名・日付・数値、既にマスク済みの語は含めないこと。無ければ空の配列。\n"
+)
+
+
 def prompt(chunk: Column, existing: Column) -> Column:
     """What a language model is asked about a chunk: names that aren't masked yet, as JSON. existing: array of surfaces."""
     known = F.to_json(F.array_sort(F.array_distinct(existing)))
-    ask = (
-        "次の本文から、取引先・人物・案件を特定できる固有名詞のうち、まだマスクされていないものだけを挙げてください。\n"
-        '答えは JSON のみ: {"additions":[{"text":"本文にある語","type":"PERSON|ORGANIZATION"}]}。\n'
-        "本文に一字一句存在する語に限り、一般名詞・地名・日付・数値、既にマスク済みの語は含めないこと。無ければ空の配列。\n"
-    )
-    return F.concat(F.lit(ask + "本文: 「"), chunk, F.lit("」\nマスク済み: "), known, F.lit("\n出力:"))
+    return F.concat(F.lit(PROMPT + "本文: 「"), chunk, F.lit("」\nマスク済み: "), known, F.lit("\n出力:"))
 
 
 def is_loopback(url: str) -> bool:

@@ -43,10 +43,12 @@ def clean(text: Column) -> Column:
 
 def matches(text: Column, pattern: str, then: str = "", gate: Column | None = None) -> Column:
     """Ranges (s, e) of the leftmost, greedy, non-overlapping matches of `pattern` followed by `then`; the range is that
-    of `pattern`. gate: a cheap test that is false only where there is no match."""
-    marked = F.regexp_replace(clean(text), f"({pattern})({then})", f"{OPEN}$1{CLOSE}$2")
+    of `pattern`, which may hold groups of its own. gate: a cheap test that is false only where there is no match."""
+    if then:  # groups by name, as those of the pattern shift numbers
+        marked = F.regexp_replace(clean(text), f"(?<svWhole>{pattern})(?<svThen>{then})", f"{OPEN}${{svWhole}}{CLOSE}${{svThen}}")
+    else:
+        marked = F.regexp_replace(clean(text), pattern, f"{OPEN}$0{CLOSE}")
     found = _odd_pieces(F.split(marked, f"[{OPEN}{CLOSE}]"))
-    # group 2 is numbered by what the pattern holds itself; patterns here hold no capturing groups
     return F.coalesce(F.when(gate, found).otherwise(none(RANGES)) if gate is not None else found, none(RANGES))
 
 

@@ -32,6 +32,13 @@ def load_recogniser(model: str) -> Callable | None:
 
 
 _LOADED: dict = {}
+_SAID: set[tuple[str, str]] = set()
+
+
+def _say(message: str, what: str) -> None:
+    """A warning once for each kind of failure in a worker: a corpus may fail a million times alike."""
+    (log.debug if (message, what) in _SAID else log.warning)(message, what)
+    _SAID.add((message, what))
 
 
 def ner_spans(text: Column, recogniser: Callable | str, score: float = 0.5, types: tuple[str, ...] = (K.PERSON, K.ORGANIZATION)) -> Column:
@@ -53,7 +60,7 @@ def ner_spans(text: Column, recogniser: Callable | str, score: float = 0.5, type
             try:
                 return [{"start": int(a), "end": int(b), "label": str(n)} for a, b, n in found(t)]
             except Exception as e:
-                log.warning("the recogniser failed on a text (%s); it is skipped", type(e).__name__)
+                _say("the recogniser failed on a text (%s); such texts are skipped", type(e).__name__)
                 return []
 
         return texts.map(one)
@@ -126,7 +133,7 @@ def ask_model(df: DataFrame, client: Callable[[str], str], size: int = 700, text
             try:
                 return client(q)
             except Exception as e:
-                log.warning("a question to the model failed (%s); its chunk is skipped", type(e).__name__)
+                _say("a question to the model failed (%s); such chunks are skipped", type(e).__name__)
                 return None
 
         return questions.map(lambda qs: [one(q) for q in qs] if qs is not None else None)

@@ -5,6 +5,7 @@ found them. Cheap tests keep texts that can hold no match away from the patterns
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -61,9 +62,17 @@ def mynumber_ranges(s: Column) -> Column:
 
 
 def extra_patterns(items: Iterable[Mapping]) -> list[tuple[str, str]]:
-    """(pattern, type) of configured items; those without a pattern or of no known type are left out. Patterns are Java's
-    and hold no capturing groups."""
-    return [(i["pattern"], i["type"]) for i in items if i.get("pattern") and i.get("type") in K.TYPES]
+    """(pattern, type) of configured items; those without a pattern or of no known type are left out."""
+    return [(java_pattern(i["pattern"]), i["type"]) for i in items if i.get("pattern") and i.get("type") in K.TYPES]
+
+
+def java_pattern(pattern: str) -> str:
+    """A pattern as Java writes it: named groups of Python's dialect are rewritten, underscores in their names left out. A
+    conditional group, for which Java has no form, is an error as the settings are read."""
+    if re.search(r"\(\?\(", pattern):
+        raise ValueError("a configured pattern holds a conditional group, which isn't supported")
+    pattern = re.sub(r"\(\?P<(\w+)>", lambda m: f"(?<{m[1].replace('_', '')}>", pattern)
+    return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", pattern)
 
 
 def regex_spans(s: Column, extra: Iterable[tuple[str, str]] = ()) -> Column:

@@ -88,7 +88,7 @@ def merge(found: Column) -> Column:
     return F.transform(merged, lambda s: span(s["start"], s["end"], s["type"], s["score"], s["sources"]))
 
 
-_CANDIDATES = "array<struct<q:string,type:string,score:double,sources:array<string>>>"
+_CANDIDATES = "array<struct<q:string,type:string,score:double,sources:array<string>,a:int,b:int>>"
 
 
 def _first_of_each(items: Column, kind: str) -> Column:
@@ -98,14 +98,20 @@ def _first_of_each(items: Column, kind: str) -> Column:
 
 
 def candidates(text: Column, found: Column) -> Column:
-    """What may be found again: surfaces with their types, and cores of organisations without their legal form."""
+    """What may be found again: surfaces with their types, and cores of organisations without their legal form; with the
+    place of each, a to b."""
 
     def variants(s):
         surface = between(text, s["start"], s["end"])
-        make = lambda q: F.struct(q.alias("q"), s["type"].alias("type"), s["score"].alias("score"), s["sources"].alias("sources"))
+
+        def make(q, a, b):
+            return F.struct(q.alias("q"), s["type"].alias("type"), s["score"].alias("score"), s["sources"].alias("sources"), a.cast("int").alias("a"), b.cast("int").alias("b"))
+
         form = legal_form(surface)
         core = (s["type"] == K.ORGANIZATION) & form["form"].isNotNull() & (F.length(form["core"]) >= K.MIN_CORE_SPREAD)
-        return F.when(core, F.array(make(surface), make(form["core"]))).otherwise(F.array(make(surface)))
+        whole = make(surface, s["start"], s["end"])
+        first = F.when(F.startswith(surface, form["form"]), s["start"] + F.length(form["form"])).otherwise(s["start"])
+        return F.when(core, F.array(whole, make(form["core"], first, first + F.length(form["core"])))).otherwise(F.array(whole))
 
     long_enough = F.filter(F.flatten(F.transform(found, variants)), lambda c: F.length(c["q"]) >= K.MIN_SPREAD)
     return _first_of_each(long_enough, _CANDIDATES)
@@ -116,7 +122,9 @@ def spread(text: Column, found: Column, sh: Column) -> Column:
     occurrence that touches a span or an earlier occurrence, or stands within a longer name, doesn't count. sh: the
     shadow, which should be a column, as each occurrence looks at it."""
     s, x = sh["s"], sh["x"]
-    shadowed = F.transform(candidates(text, found), lambda c: F.struct(shadow(c["q"])["s"].alias("q"), c["type"].alias("type"), c["score"].alias("score"), c["sources"].alias("sources")))
+    # characters are shadowed one by one, so that a surface's shadow is a part of the text's
+    part = lambda c: between(s, to_shadow(x, c["a"]), to_shadow(x, c["b"]))
+    shadowed = F.transform(candidates(text, found), lambda c: F.struct(part(c).alias("q"), *[c[k].alias(k) for k in ("type", "score", "sources", "a", "b")]))
     unique = _first_of_each(F.filter(shadowed, lambda c: F.length(c["q"]) >= K.MIN_SPREAD), _CANDIDATES)
     ordered = F.array_sort(F.transform(unique, lambda c, i: F.struct((-F.length(c["q"])).alias("k"), i.alias("i"), c.alias("c"))))
     taken = F.transform(found, lambda f: F.struct(to_shadow(x, f["start"]).alias("s"), to_shadow(x, f["end"]).alias("e")))

@@ -1,4 +1,6 @@
-"""Plans: which layers look at a text, and what becomes of it. A plan is a chain of projections; no row leaves its task."""
+"""Plans: which layers look at a text, and what becomes of it. A plan is a chain of projections; no row leaves its task, but
+that rows of a small input are dealt to all cores before. The optimizer doesn't move filters below a plan's projections, so
+that rows that aren't wanted should be filtered before it."""
 
 from __future__ import annotations
 
@@ -24,6 +26,20 @@ BASE = ("regex", "structural", "denylist")
 LITERAL_KEYS = 500
 
 
+#: Bytes of input for each core up to which rows are dealt out before they are scanned.
+SMALL_INPUT = 64 << 20
+
+
+def dealt(df: DataFrame) -> DataFrame:
+    """df with its rows dealt to all cores if it is small: one file with one row group is one task, however many cores wait,
+    and a scan costs far more than moving the row. Larger inputs, and streams, have tasks enough and stay as they are."""
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_INPUT else df
+
+
 @dataclass(frozen=True)
 class Plan:
     """Layers with what they need. spans() gives their raw spans, detect() disjoint ones."""
@@ -49,7 +65,7 @@ class Plan:
     def spans(self, df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
         """df with the raw spans of all layers, and `_shadow`."""
         t = F.coalesce(F.col(text), F.lit(""))
-        df = df.withColumn("_shadow", held(shadow(t))).withColumn("_fold", held(folded(F.col("_shadow.s"))))
+        df = dealt(df).withColumn("_shadow", held(shadow(t))).withColumn("_fold", held(folded(F.col("_shadow.s"))))
         s, x = F.col("_shadow.s"), F.col("_shadow.x")
         parts = []
         for name in self.layers:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import label
 from .mappings import write_secret
 
+#: Private characters around the number of a placeholder that is still to be marked, and what stands for them in a text.
+_SLOT, _OTHERS = chr(0xE002) + chr(0xE003), chr(0xE004) + chr(0xE005)
 _STYLE = (
     "body{font-family:sans-serif;margin:2em;line-height:1.6}pre{background:#f4f4f4;padding:1em;white-space:pre-wrap}"
     "mark{background:#fd8;cursor:help}table{border-collapse:collapse}td,th{border:1px solid #ccc;padding:.3em .6em;text-align:left}"
@@ -34,8 +36,9 @@ def page(text: Column, masked: Column, report: Column) -> Column:
 
     # two passes, so that a placeholder within an original isn't marked: first to a character of its own, then to its mark
     ranked = F.array_sort(F.transform(report, lambda r, i: F.struct((-F.length(r["token"])).alias("k"), i.alias("i"), r.alias("r"))))
-    slot = lambda i: F.concat(F.lit(""), i.cast("string"), F.lit(""))
-    slotted = F.aggregate(ranked, escaped(F.translate(masked, "", "")), lambda a, o: F.replace(a, escaped(o["r"]["token"]), slot(o["i"])))
+    slot = lambda i: F.concat(F.lit(_SLOT[0]), i.cast("string"), F.lit(_SLOT[1]))
+    plain = F.translate(masked, _SLOT, _OTHERS)  # a text that holds these characters shows others
+    slotted = F.aggregate(ranked, escaped(plain), lambda a, o: F.replace(a, escaped(o["r"]["token"]), slot(o["i"])))
     marked = F.aggregate(ranked, slotted, lambda a, o: F.replace(a, slot(o["i"]), mark(o["r"])))
     cell = lambda c: F.concat(F.lit("<td>"), escaped(c), F.lit("</td>"))
     rows = F.array_join(F.transform(report, lambda r: F.concat(F.lit("<tr>"), cell(r["token"]), cell(label(r["type"])), cell(r["original"]), cell(_sources(r)), F.lit("</tr>"))), "")

@@ -85,6 +85,16 @@ def test_matches_count_code_points(spark):
     assert [(r.s, r.e) for r in got] == [(1, 3), (4, 6), (7, 8)]
 
 
+def test_configured_patterns_with_groups(spark):
+    """Groups don't shift spans; Python's names of groups are understood; what Java can't express is refused."""
+    text = "x A12 y A34 z"
+    for pattern, want in (("A([0-9]+)", [(2, 5), (8, 11)]), ("(?P<a_b>A)(?P<n>[0-9])[0-9]", [(2, 5), (8, 11)]), ("A1|z", [(2, 4), (12, 13)]), (r"(?P<c>[a-z]) A(?:12)|(?P=c)q", [(0, 5)])):
+        (java, _), = detect.extra_patterns([{"pattern": pattern, "type": "PHONE"}])
+        assert [(r.s, r.e) for r in one(spark, text, lambda c, p=java: matches(c, p))] == want
+    with pytest.raises(ValueError, match="conditional"):
+        detect.extra_patterns([{"pattern": "(a)?(?(1)b|c)", "type": "PHONE"}])
+
+
 # ---- detectors -------------------------------------------------------------------------------------------------------------
 
 

@@ -13,14 +13,21 @@ def test_entry(spark):
 
 
 def test_the_rest_works_without_the_corpus_operators(tmp_path):
-    """The entry module imports, and the engine's queries stay, when the corpus operators are removed."""
+    """With both folders and the pipeline removed the entry module imports, an engine query runs, and all other tests can
+    be collected."""
     copy = tmp_path / "repo"
     copy.mkdir()
-    (copy / "__spark_entry__.py").write_text((REPO / "__spark_entry__.py").read_text())
-    subprocess.run(["cp", "-r", str(REPO / "sparkveil"), str(copy / "sparkveil")], check=True)
-    subprocess.run(["rm", "-rf", str(copy / "sparkveil/llm")], check=True)
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'email_mask' in q and not [n for n in q if n.startswith('op') or n == 'pipeline'], list(q)"
+    for name in ("__spark_entry__.py", "bench.py", "sparkveil", "tests"):
+        subprocess.run(["cp", "-r", str(REPO / name), str(copy / name)], check=True)
+    subprocess.run(["rm", "-rf", str(copy / "sparkveil/llm"), str(copy / "tests/llm")], check=True)
+    code = (
+        "import __spark_entry__ as e; q = e.queries(); assert 'email_mask' in q and not [n for n in q if n.startswith('op') or n == 'pipeline'], list(q)\n"
+        "from pyspark.sql import SparkSession; s = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false').getOrCreate()\n"
+        "assert q['check_digit'](s, '/root/testdata/sf0.001').count() == 1500"
+    )
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True)
+    done = subprocess.run([sys.executable, "-m", "pytest", "tests", "-q", "--collect-only", "-p", "no:cacheprovider"], cwd=copy, capture_output=True, text=True)
+    assert done.returncode == 0, done.stdout[-2000:]
 
 
 def test_import_errors_within_the_corpus_operators_show(tmp_path):

@@ -61,3 +61,17 @@ def test_nth_and_longest_first(spark):
     ents = [("柳", K.PERSON, None), ("青柳", K.PERSON, None), ("東", K.PERSON, 1), ("空", K.PERSON, 5), ("", K.PERSON, None)]
     df = spark.createDataFrame([("x", "c", "青柳と柳と東と東", ents, "")], "id string, category string, text string, entities array<struct<surface:string,type:string,nth:int>>, note string")
     assert [(s.start, s.end) for s in E.with_gold(df).collect()[0].gold] == [(0, 2), (3, 4), (7, 8)]
+
+
+def test_own_corpus(spark):
+    """All least figures are reached on the engine's own cases, and each layer is needed for them."""
+    from sparkveil.plans import plan_queries as Q
+
+    judged, cases = Q._judged(spark)
+    judged = judged.cache()
+    t = E.totals(judged).collect()[0]
+    assert cases.count() == len(Q.corpus.CASES) >= 90 and t.gold >= 200
+    assert t.recall >= 0.98 and t.precision >= 0.99 and t.f1 >= 0.985
+    assert all(r.ok for r in E.thresholds(judged, cases).collect())
+    assert {r.surface for r in E.misses(judged).collect()} == {"ABC工業", "常盤 一葉", "カワセミ"}
+    assert all(r.lost > 0.02 for r in E.ablation(cases, lambda d: Q._corpus_plan(spark, d), ["regex", "structural", "denylist", "address"]).collect())

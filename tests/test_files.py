@@ -67,6 +67,13 @@ def test_review_page(spark):
     assert "（検出なし）" in next(p.html for p in pages if "何も" in p.text)
 
 
+def test_review_page_leaves_digits_alone(spark):
+    df = spark.createDataFrame([("0120 青柳様 10 東雲様 01",)], "text string")
+    html = review.pages(P.mask(df, P.Plan(("structural",))), "text").collect()[0].html
+    body = html.partition("テキスト</h2><pre>")[2].partition("</pre>")[0]
+    assert body.startswith("0120 <mark") and " 10 <mark" in body and body.endswith(" 01") and body.count("<mark ") == 2
+
+
 def test_report(spark):
     said = P.mask(spark.createDataFrame([("青柳様",)], "text string"), P.Plan(("structural",))).select(M.report_text(F.col("report")).alias("r")).collect()[0].r
     assert said.split("\n")[:2] == ["=== マスク結果: 1 件 ===", "  [[人名_1]]      人名      青柳   <- structural"]

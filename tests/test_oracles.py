@@ -5,7 +5,8 @@ import math
 import duckdb
 import pytest
 
-from sparkveil.plans import queries
+from sparkveil.plans import fixtures as X
+from sparkveil.plans import registry as queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -13,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     c = duckdb.connect()
-    for t in ("orders", "customer", "lineitem", "documents"):
+    for t in ("orders", "customer", "lineitem", "documents", "nation"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     return c
 
@@ -39,5 +40,5 @@ def test_query(spark, duck, name):
 
 
 def test_charmap_of_every_document(spark):
-    whole = queries.QUERIES["charmap_whole"](spark, SF).select("doc_id").distinct().count()
-    assert whole == queries.X.ja_docs(spark, SF).filter("length(text) > 0").count()
+    whole = queries.QUERIES["charmap"](spark, SF).select("doc_id").distinct().count()
+    assert whole == X.ja_docs(spark, SF).filter("length(text) > 0").count()
