@@ -156,9 +156,10 @@ class Coder:
         i = self.pieces.get(piece)
         return [i] if i is not None else [self.byte_ids[b] for b in piece.encode()]
 
-    def _last(self, unit: str, at: int, base: int, last: list[str]) -> str:
-        """The last piece of the encoding of unit[:at]: the longest that ends here and may follow the last piece of what
-        is before it. last[i] is that of the prefix that ends at base + i."""
+    def _last(self, unit: str, at: int, base: int, last: list[str | None]) -> str:
+        """The back pointer at a position: the last piece of the encoding of unit[:at], which is the longest that ends here
+        and may follow the last piece of what is before it. last[i] is that of the prefix that ends at base + i, or None
+        while no path has asked for it."""
         node, k = self.tree.get(unit[at - 1]), at - 1
         ends = []
         while node is not None and k > base:
@@ -166,44 +167,55 @@ class Coder:
             node = node.get(unit[k])
             if node is not None and (end := node.get("")) is not None:
                 ends.append(end)
+        found = unit[at - 1]
         while ends:
             piece, before = ends.pop()
             k = at - len(piece)
             if k == 0:
-                return piece
+                found = piece
+                break
             left = last[k - base]
+            if left is None:
+                left = self._last(unit, k, base, last)
             fits = before.get(left)
             if fits is None:
                 fits = self.fits(left, piece)
             if fits:
-                return piece
-        return unit[at - 1]
+                found = piece
+                break
+        last[at - base] = found
+        return found
 
     def pieces_of(self, unit: str) -> Iterator[str]:
-        """The pieces of a unit, streamed: those before a boundary come as soon as all paths that can go on meet there."""
-        last: list[str] = [""]
-        base = 0
-        for at in range(1, len(unit) + 1):
-            last.append(self._last(unit, at, base, last))
-            if at - base >= LOOK + self.longest:
-                live = set(range(at - base - self.longest, at - base + 1))
-                while len(live) > 1:
-                    p = max(live)
-                    live.discard(p)
-                    live.add(p - len(last[p]))
-                meet = live.pop()
-                if meet > 0:
-                    yield from self._path(last, meet)
-                    last = last[meet:]
-                    base += meet
-        yield from self._path(last, len(unit) - base)
-
-    @staticmethod
-    def _path(last: list[str], at: int) -> list[str]:
+        """The pieces of a unit, streamed: those before a boundary come as soon as all paths that can go on meet there. Back
+        pointers are worked out where a path passes."""
+        last: list[str | None] = [""]
+        base, size, limit = 0, len(unit), LOOK + self.longest
+        while True:
+            stop = min(size, base + limit)
+            last += [None] * (stop - base + 1 - len(last))
+            if stop == size:
+                break
+            live = set(range(stop - base - self.longest, stop - base + 1))
+            while len(live) > 1:
+                p = max(live)
+                live.discard(p)
+                live.add(p - len(last[p] or self._last(unit, base + p, base, last)))
+            meet = live.pop()
+            if meet > 0:
+                yield from self._path(unit, meet, base, last)
+                last = last[meet:]
+                base, limit = base + meet, LOOK + self.longest
+            else:
+                limit += LOOK
+        yield from self._path(unit, size - base, base, last)
+
+    def _path(self, unit: str, at: int, base: int, last: list[str | None]) -> list[str]:
         out = []
         while at > 0:
-            out.append(last[at])
-            at -= len(last[at])
+            piece = last[at] or self._last(unit, base + at, base, last)
+            out.append(piece)
+            at -= len(piece)
         return out[::-1]
 
     # -- texts --

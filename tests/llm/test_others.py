@@ -377,10 +377,11 @@ def test_streaming_commits_early_and_equals_the_whole(coder):
     for p in coder.pieces_of(unit):
         taken.append(p)
     assert "".join(taken) == unit
-    whole = [""]  # the same without a window
+    whole = [""]  # each back pointer, without a window
     for at in range(1, len(unit) + 1):
-        whole.append(coder._last(unit, at, 0, whole))
-    assert taken == coder._path(whole, len(unit))
+        whole.append(None)
+        coder._last(unit, at, 0, whole)
+    assert taken == coder._path(unit, len(unit), 0, whole)
 
 
 def test_space_sign_comes_back(coder):
