@@ -32,9 +32,9 @@ from . import common as C
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 180_000
+REMEMBERED = 100_000
 #: Pieces before a piece for which a worker remembers whether it may follow.
-LEFT_REMEMBERED = 5_000
+LEFT_REMEMBERED = 500
 #: Longer units aren't remembered.
 LONGEST_WORD = 48
 #: Positions after which a stream looks for a boundary where its paths meet.
