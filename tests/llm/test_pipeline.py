@@ -56,6 +56,9 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, tmp_path, scratch):
             for at in r.sample(range(100), r.randint(0, 3)):
                 w[at] = say(1)[0]
             texts.append(" ".join(w))
+    passage = " ".join(say(30))  # what many unlike texts share lies in their prefixes, as they have little else
+    shared = [f"{passage} {' '.join(say(r.randint(6, 12)))}" for _ in range(25)]
+    texts += shared + [t + " " + say(1)[0] for t in shared[:10]]
     texts += [texts[0].upper(), texts[0].replace(" ", "\n"), " ".join(say(3)), "a b c", "A  b\tc", "a b d"]
     path = f"file://{tmp_path}/near.parquet"
     more = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string").withColumn("lang", F.lit("en"))
@@ -69,8 +72,9 @@ def test_near_dedup_keeps_one_of_each_group(spark, docs, tmp_path, scratch):
             if 5 * len(a & b) >= 4 * len(a | b):
                 old, new = root[i], root[j]
                 root = [new if x == old else x for x in root]
-    got = jaccard.near_duplicates(C.with_row_id(spark.read.parquet(path).select("doc_id", "text"), scratch), scratch).collect()
-    assert len(got) == len(rows) and len({g.keep_row for g in got}) == len(set(root))
+    for bounds in ({}, {"part": 4, "block": 5}):  # whole buckets, and large ones in parts and blocks
+        got = jaccard.near_duplicates(C.with_row_id(spark.read.parquet(path).select("doc_id", "text"), scratch), scratch, **bounds).collect()
+        assert len(got) == len(rows) and len({g.keep_row for g in got}) == len(set(root))
     least = {}
     for i, x in enumerate(rows):
         at = (x.doc_id is None, x.doc_id)
@@ -90,3 +94,15 @@ def test_bitmaps_never_rule_out_what_is_similar():
         d = jaccard.apart(jaccard.wide(a), jaccard.wide(b))
         assert d <= n + m - 2 * both and d == jaccard.apart(jaccard.wide(b), jaccard.wide(a))
     assert d > 1500
+
+
+def test_no_tile_holds_a_large_bucket(spark, scratch):
+    """A bucket of one group gives no tile; of others each pair of members meets, and no tile has far more than two blocks."""
+    rows = [(1, 50, i, 0, 7) for i in range(300)] + [(2, 50, i, 0, i % 3) for i in range(400)] + [(3, 50, i, 0, i) for i in range(5)]
+    members = spark.createDataFrame(rows, "sh long, n int, node long, pos int, root long")
+    by = {}
+    for t in jaccard.tiles(members, scratch, len(rows), 20).collect():
+        by.setdefault(t.tile, []).append((t.node, t.block))
+    assert max(map(len, by.values())) <= 80
+    met = {(a, b) for t in by.values() for a, x in t for b, y in t if a < b and (x != y or len({k for _, k in t}) == 1)}
+    assert met == {(a, b) for b in range(400) for a in range(b)}
