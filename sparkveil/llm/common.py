@@ -86,6 +86,9 @@ class Scratch:
         self.spark, self.path = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
         bounded(spark)
+        if not _MADE:
+            atexit.register(release)
+        _MADE.append(self)
 
     def keep(self, df: DataFrame, name: str = "t", rows: int | None = None, per_file: int = FILE_ROWS) -> DataFrame:
         """Writes a table and reads it again. rows: about how many rows it has, if that is known; see packed()."""
@@ -104,6 +107,26 @@ class Scratch:
             delete(self.spark, t._scratch_path)
 
 
+#: Scratch folders of this process that are still there.
+_MADE: list[Scratch] = []
+
+
+def made() -> int:
+    return len(_MADE)
+
+
+def release(since: int = 0) -> None:
+    """Deletes the scratch folders that were made after the first `since`: what was read from them is written, or isn't
+    wanted any more. What is left when the process ends goes then, if the session can still be reached."""
+    for made in _MADE[since:]:
+        try:
+            delete(made.spark, made.path)
+        except Exception:  # noqa: BLE001  # nobody is there any more to delete for
+            if since:
+                raise
+    del _MADE[since:]
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)

@@ -44,6 +44,17 @@ def test_run_on_tables(spark):
     assert len({r.doc_id for r in out}) == len(kept)  # no two equal texts
 
 
+def test_run_leaves_only_what_its_last_stage_reads(spark):
+    from pathlib import Path
+
+    root = Path(C.shared_dir(spark).removeprefix("file://"))
+    there = set(root.iterdir())
+    out = P.run(spark, "/root/testdata/sf0.001")
+    left = [p.name for new in set(root.iterdir()) - there for p in new.iterdir()]
+    assert [n for n in left if n.endswith("-mixing")] and not [n for n in left if n.endswith(("-language_id", "-exact_dedup", "-simhash_near_dedup", "-sets", "-prints"))]
+    assert out.count()
+
+
 def test_near_dedup_keeps_one_of_each_group(spark, docs, tmp_path, scratch):
     """Against all pairs: near copies of five-word similarity 0.8 or more go, in a group larger than jaccard.REACH too."""
     r = random.Random(8)
