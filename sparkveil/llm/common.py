@@ -29,18 +29,21 @@ BITMAP_BITS = 1 << 22
 WORDS = 1 << 20
 #: Bytes of rows that go to a Python worker at once, unless a single row has more.
 BATCH_BYTES = 4 << 20
+#: The same in a stage of the pipeline, where a process that served earlier stages has grown already.
+STAGE_BYTES = 1 << 20
 #: Rows of a file of a kept table whose size is known beforehand: short ones, and such as are made from whole texts.
 FILE_ROWS, DOC_ROWS = 1 << 18, 1 << 13
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 ROW = "struct<f:long,i:long>"
 
 
-def bounded(spark: SparkSession) -> None:
+def bounded(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     """Bounds the batches that this session hands to Python workers by bytes too: texts may be long, and by rows alone a
     batch would be as large as ten thousand of them."""
-    if spark.conf.get("spark.sparkveil.batches", None) is None:  # set once, so that a caller's own bound stays
-        spark.conf.set("spark.sparkveil.batches", "bounded")
-        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    own = spark.conf.get("spark.sparkveil.batches", None)
+    if own is None or spark.conf.get(_BATCH) == own:  # a bound that a caller sets later stays
+        spark.conf.set("spark.sparkveil.batches", str(most))
+        spark.conf.set(_BATCH, str(most))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -82,10 +85,10 @@ def packed(df: DataFrame, rows: int, per_file: int | None = None) -> DataFrame:
 class Scratch:
     """Tables written once to the shared folder, so that a lost executor costs a re-read and not a recomputation."""
 
-    def __init__(self, spark: SparkSession, what: str):
+    def __init__(self, spark: SparkSession, what: str, batch: int = BATCH_BYTES):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
         self.n = 0
-        bounded(spark)
+        bounded(spark, batch)
         if not _MADE:
             atexit.register(release)
         _MADE.append(self)

@@ -157,7 +157,7 @@ FROM t JOIN g ON t.x = g.x
 
 def stage_exact_dedup(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of equal texts one document stays."""
-    scratch = C.Scratch(spark, "stage-exact")
+    scratch = C.Scratch(spark, "stage-exact", C.STAGE_BYTES)
     rows = C.with_row_id(C.boxed(docs), scratch)
     found = exact_duplicates(rows, scratch)
     n = rows.count()

@@ -253,7 +253,7 @@ def stage_language_id(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents of no language, or of one with less than least_score, go. Where nothing could be learned
     all stay. A null text has no language; rows that repeat share their fate; columns may have any names. Verdicts come
     back from Python, texts don't."""
-    scratch = C.Scratch(spark, "stage-lang")
+    scratch = C.Scratch(spark, "stage-lang", C.STAGE_BYTES)
     rows = C.with_row_id(C.boxed(docs), scratch)
     model = train(docs.select("doc_id", "text", "lang").filter(fold(F.col("doc_id")) != 2), scratch)
     if not model["langs"]:

@@ -123,7 +123,7 @@ FROM q
 def stage_mixing(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: a document comes as often as the mix takes it; one that isn't taken goes. Texts aren't shuffled:
     the plan has one row per source."""
-    scratch = C.Scratch(spark, "stage-mix")
+    scratch = C.Scratch(spark, "stage-mix", C.STAGE_BYTES)
     plan = mix_plan(scratch.keep(sized(docs), "sized"), scratch)
     taken = with_copies(hashed(C.boxed(docs, "source")).drop("text"), plan).filter("copies > 0")
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("_doc.*")

@@ -203,7 +203,7 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each group of near-duplicates stays, by jaccard's rule: 64 bits can't tell a
     similarity of 0.8, at which two fingerprints differ in about ten, from a good deal less."""
-    scratch = C.Scratch(spark, "stage-simhash")
+    scratch = C.Scratch(spark, "stage-simhash", C.STAGE_BYTES)
     rows = C.with_row_id(C.boxed(docs), scratch)
     found = jaccard.near_duplicates(rows, scratch)
     n = rows.count()
