@@ -75,11 +75,11 @@ def java_pattern(pattern: str) -> str:
     return re.sub(r"\(\?P=(\w+)\)", lambda m: f"\\k<{m[1].replace('_', '')}>", pattern)
 
 
-def regex_spans(s: Column, extra: Iterable[tuple[str, str]] = ()) -> Column:
-    """E-mail addresses, telephone numbers, personal numbers, then configured patterns."""
-    found = [spans(email_ranges(s), K.EMAIL, 1.0, "regex"), *(spans(p, K.PHONE, 1.0, "regex") for p in phone_ranges(s)), spans(mynumber_ranges(s), K.MYNUMBER, 1.0, "regex")]
-    found += [spans(matches(s, p), t, 1.0, "regex") for p, t in extra]
-    return F.concat(*found)
+def regex_spans(s: Column, extra: Iterable[tuple[str, str]] = (), types: Iterable[str] = K.TYPES) -> Column:
+    """E-mail addresses, telephone numbers, personal numbers, then configured patterns; of the types that are wanted."""
+    makers = ((K.EMAIL, lambda: [email_ranges(s)]), (K.PHONE, lambda: phone_ranges(s)), (K.MYNUMBER, lambda: [mynumber_ranges(s)]), *((t, lambda p=p: [matches(s, p)]) for p, t in extra))
+    found = [spans(r, t, 1.0, "regex") for t, made in makers if t in types for r in made()]
+    return F.concat(none(K.SPANS), *found)
 
 
 # ---- structure -----------------------------------------------------------------------------------------------------

@@ -42,18 +42,20 @@ def dealt(df: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Plan:
-    """Layers with what they need. spans() gives their raw spans, detect() disjoint ones."""
+    """Layers with what they need. spans() gives their raw spans, detect() disjoint ones. types: which of them are looked
+    for; what is of another type stays in the text and is no part of any merge."""
 
     layers: tuple[str, ...]
     config: settings.Settings = settings.Settings()
     keys: tuple[tuple[str, str], ...] = ()
     recogniser: Callable | str | None = None
     client: Callable[[str], str] | None = field(default=None, compare=False)
+    types: tuple[str, ...] = K.TYPES
 
     def _layer(self, name: str, s: Column, fold: Column) -> Column:
         c = self.config
         if name == "regex":
-            return detect.regex_spans(s, c.extra_patterns)
+            return detect.regex_spans(s, c.extra_patterns, self.types)
         if name == "structural":
             return detect.structural_spans(s, c.person_max, c.org_max, c.person_stopwords)
         if name == "denylist":
@@ -62,6 +64,9 @@ class Plan:
             return detect.address_spans(s)
         return none(K.SPANS)
 
+    def _wanted(self, spans: Column) -> Column:
+        return spans if set(self.types) >= set(K.TYPES) else F.filter(spans, lambda s: s["type"].isin(*self.types))
+
     def spans(self, df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
         """df with the raw spans of all layers, and `_shadow`."""
         t = F.coalesce(F.col(text), F.lit(""))
@@ -75,13 +80,14 @@ class Plan:
                 parts.append(dictionary.automaton_spans(list(self.keys))(t))
             else:
                 parts.append(detect.in_text(self._layer(name, s, F.col("_fold")), x))
-        return df.withColumn(to, held(F.concat(*parts))).drop("_fold")
+        return df.withColumn(to, held(self._wanted(F.concat(*parts)))).drop("_fold")
 
     def detect(self, df: DataFrame, text: str = "text", to: str = "spans") -> DataFrame:
         df = merge_spans(self.spans(df, text, to), text, to, F.col("_shadow"))
         if self.client is None:
             return df.drop("_shadow")
         df = additive.ask_model(df, self.client, self.config.llm_chunk, text, to)
+        df = df.withColumn("_more", self._wanted(F.col("_more")))
         had = F.size("_more") > 0
         df = df.withColumn("_merged", F.col(to)).withColumn(to, F.when(had, F.concat(to, "_more")).otherwise(none(K.SPANS)))
         df = merge_spans(df, text, to, F.col("_shadow")).drop("_shadow")
