@@ -130,9 +130,35 @@ def fold_python(text: str) -> str:
     return "".join("-" if c in HYPHENS else c for c in both if not c.isspace())
 
 
+def places(text: Column) -> Column:
+    """The places of a text's shadow without the shadow: only characters that become several are looked up."""
+    _, many = compatibility()
+    several = F.length(F.translate(text, "".join(many), "")) < F.length(text)
+    pieces = F.split(F.regexp_replace(clean(text), f"({_many_class()})", f"{OPEN}$1{CLOSE}"), f"[{OPEN}{CLOSE}]")
+    to = F.from_json(F.lit(json.dumps({c: len(n) for c, n in many.items()})), "map<string,int>")
+    zero = F.struct(F.lit(0).alias("o"), F.lit(0).alias("p"), F.lit(False).alias("odd"), none(PLACES).alias("x"))
+
+    def step(a, piece):
+        n = F.when(a["odd"], F.element_at(to, piece)).otherwise(F.length(piece))
+        place = F.array(F.struct(a["o"].alias("o"), a["p"].alias("p"), n.alias("n")))
+        return F.struct((a["o"] + F.length(piece)).alias("o"), (a["p"] + n).alias("p"), (~a["odd"]).alias("odd"), F.when(a["odd"], F.concat(a["x"], place)).otherwise(a["x"]).alias("x"))
+
+    return F.when(several, F.aggregate(pieces, zero, step, lambda a: a["x"])).otherwise(none(PLACES))
+
+
+def sources(text: Column, x: Column) -> Column:
+    """The source offset of each character of the shadow, from its places x: runs of characters that stay one, and between
+    them a character's offset as often as it became characters."""
+    run = lambda a, b: F.when(a < b, F.sequence(a, b - 1)).otherwise(none("array<int>"))
+    zero = F.struct(F.lit(0).alias("o"), none("array<int>").alias("out"))
+    step = lambda a, c: F.struct((c["o"] + 1).alias("o"), F.concat(a["out"], run(a["o"], c["o"]), F.array_repeat(c["o"], c["n"])).alias("out"))
+    odd = F.aggregate(x, zero, step, lambda a: F.concat(a["out"], run(a["o"], F.length(text))))
+    return F.when(F.size(x) == 0, run(F.lit(0), F.length(text))).otherwise(odd)
+
+
 def charmap(text: Column, fold: bool = False) -> Column:
-    """struct<s, charmap>: the shadow with the source offset of each of its characters. For short texts and tests; the
-    operators use places, which don't grow with the text."""
+    """struct<s, charmap>: the shadow with the source offset of each of its characters, looked up one by one. For short
+    texts and tests; the operators use places, which don't grow with the text."""
     one, many = compatibility()
     to = F.from_json(F.lit(json.dumps(many)), "map<string,string>")
     chars = F.when(text == "", none("array<string>")).otherwise(F.split(text, ""))
