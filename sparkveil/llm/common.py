@@ -82,6 +82,11 @@ def packed(df: DataFrame, rows: int, per_file: int | None = None) -> DataFrame:
     return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // (per_file or DOC_ROWS))))
 
 
+#: On a local disk a scratch table has no checksum files: without native code Hadoop starts a process (chmod) for each file
+#: it makes, for whose first moment the executor's memory counts twice.
+PLAIN = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 class Scratch:
     """Tables written once to the shared folder, so that a lost executor costs a re-read and not a recomputation."""
 
@@ -99,7 +104,7 @@ class Scratch:
             df = packed(df, rows, per_file)
         self.n += 1
         path = f"{self.path}/{self.n:03d}-{name}"
-        df.write.parquet(path)
+        df.write.options(**PLAIN).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch_path = path
         return out
