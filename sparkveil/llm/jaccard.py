@@ -18,6 +18,8 @@ each shingle at least, which tells unlike texts of any length apart, is compared
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -89,17 +91,18 @@ def _fit(n, m, left, least):
     return (least[1] * np.minimum(n, m) >= least[0] * np.maximum(n, m)) & ((least[0] + least[1]) * left >= least[0] * (n + m))
 
 
-def _nodes(shingle):
+def _nodes(shingle, print_of=None):
     import pyarrow as pa
 
     def run(batches):
         C.worker_for("jaccard", lambda: None)
         for whole in batches:
             for batch in C.slices(whole):
-                made = [(node(x), len(x), wide(x), parity(x, 64 * BITS)) for x in (shingles(t, shingle) for t in C.text_bytes(batch["text"]))]
-                maps = np.stack([m[3].view(np.int64) for m in made])
+                made = [(node(x), len(x), wide(x), print_of(x) if print_of else 0, parity(x, 64 * BITS)) for x in (shingles(t, shingle) for t in C.text_bytes(batch["text"]))]
+                maps = np.stack([m[4].view(np.int64) for m in made])
+                fps = np.array([m[3] for m in made], np.uint64).view(np.int64)
                 kinds = (pa.int64(), pa.int32(), pa.binary())
-                yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], *(pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)), *map(pa.array, maps.T.copy())], names=["_row", "doc_id", "node", "size", "wide", *MAPS])
+                yield pa.RecordBatch.from_arrays([batch["_row"], batch["doc_id"], *(pa.array([m[i] for m in made], t) for i, t in enumerate(kinds)), pa.array(fps), *map(pa.array, maps.T.copy())], names=["_row", "doc_id", "node", "size", "wide", "fp", *MAPS])
 
     return run
 
@@ -286,16 +289,18 @@ def tiles(members: DataFrame, scratch: C.Scratch, rows: int, block: int = BLOCK)
     return d.select(F.xxhash64("sh", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), "n", "node", "pos", "root", "block")
 
 
-def near_duplicates(docs: DataFrame, scratch: C.Scratch, shingle: int = SHINGLE, least: tuple[int, int] = LEAST, part: int = PART, block: int = BLOCK) -> DataFrame:
+def near_duplicates(docs: DataFrame, scratch: C.Scratch, shingle: int = SHINGLE, least: tuple[int, int] = LEAST, part: int = PART, block: int = BLOCK, first: tuple[Callable, Callable] | None = None) -> DataFrame:
     """(_row, doc_id, node, keep_row) of each row of docs (_row, doc_id, text); keep_row is the row with the least id of
-    its group, a null id being larger than any other. Groups are what links of similar texts connect."""
+    its group, a null id being larger than any other. Groups are what links of similar texts connect. first: a function
+    that makes a fingerprint (64 bits) of a set, and one that makes pairs (a, b) of (node, fp); these are compared before
+    all others, and what they link is one group already to the rounds that follow."""
     texts = docs.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "text")
-    made = texts.mapInArrow(_nodes(shingle), f"_row {C.ROW}, doc_id long, node long, size int, wide binary, {', '.join(f'{m} long' for m in MAPS)}")
+    made = texts.mapInArrow(_nodes(shingle, first and first[0]), f"_row {C.ROW}, doc_id long, node long, size int, wide binary, fp long, {', '.join(f'{m} long' for m in MAPS)}")
     n = texts.count()
     prints = scratch.keep(C.salted(made, "_row"), "prints", n, C.DOC_ROWS)
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
-    same = [F.first(c).alias(c) for c in ("size", "wide", *MAPS)]
-    parts = scratch.keep(prints.groupBy("node", "_salt").agg(first.alias("least"), *same), "parts", n)
+    lowest = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "_row"))
+    same = [F.first(c).alias(c) for c in ("size", "wide", "fp", *MAPS)]
+    parts = scratch.keep(prints.groupBy("node", "_salt").agg(lowest.alias("least"), *same), "parts", n)
     distinct = scratch.keep(parts.groupBy("node").agg(F.min("least").alias("least"), *same), "distinct", n)
 
     share = int(min(1.0, SAMPLE / max(1, n)) * (1 << 20))
@@ -324,7 +329,14 @@ def near_duplicates(docs: DataFrame, scratch: C.Scratch, shingle: int = SHINGLE,
         scratch.free(sets)
         return out
 
-    links = compared(met.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), met.count())
+    pairs, done = met.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")), None
+    if first:
+        done = compared(first[1](distinct.select("node", "fp"), scratch), n)
+        known = components(done, scratch, done.count())
+        side = lambda k: known.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+        pairs = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left").filter("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
+    links = compared(pairs, met.count())
+    links = links if done is None else links.union(done)
     roots = components(links, scratch, links.count())
     many = met.count()
     members = met.filter("other IS NULL").join(roots, "node", "left").select("sh", "n", "node", "pos", F.coalesce("root", "node").alias("root"))

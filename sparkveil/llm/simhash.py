@@ -64,13 +64,22 @@ def fingerprint(text: bytes) -> int:
     start = end - size
     n = max(1, len(words) - SHINGLE + 1)
     starts, ends = start[:n].tolist(), (end[SHINGLE - 1 :] if len(words) >= SHINGLE else end[-1:]).tolist()
+    return majority((np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], "<u8") for at in range(0, n, BLOCK)), n)
+
+
+def majority(hashes, n: int) -> int:
+    """The fingerprint of n hashes, given in blocks: a bit is 1 if it is set in over half of them."""
     total = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[at : at + BLOCK], ends[at : at + BLOCK], strict=True)], "<u8")
+    for h in hashes:
         total += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * total > n, bitorder="little").view("<u8")[0])
 
 
+def of_set(found: np.ndarray) -> int:
+    """The fingerprint of a set of shingles' hashes (jaccard.shingles), each of which counts once."""
+    return majority((found[at : at + BLOCK].astype("<u8", copy=False) for at in range(0, len(found), BLOCK)), len(found))
+
+
 def _fingerprints(batches):
     import pyarrow as pa
 
@@ -200,12 +209,24 @@ def op8_simhash(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, scratch).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def alike(prints: DataFrame, scratch: C.Scratch) -> DataFrame:
+    """(a, b): pairs of nodes (node, fp) that span the groups of fingerprints MOST bits or less apart: those of one
+    fingerprint with the least of them, and the least ones of fingerprints that are linked."""
+    same = scratch.keep(C.with_least(prints, "fp", "node", "least", "node"), "alike", prints.count())
+    of = same.filter("node = least").select("fp", "node")
+    side = lambda k: of.select(F.col("fp").alias(f"f{k}"), F.col("node").alias(k))
+    found = links(of.select("fp"), scratch).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    return found.join(side("a"), "fa").join(side("b"), "fb").select("a", "b").union(same.filter("node <> least").select("least", "node"))
+
+
 def stage_simhash(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: one document of each group of near-duplicates stays, by jaccard's rule: 64 bits can't tell a
-    similarity of 0.8, at which two fingerprints differ in about ten, from a good deal less."""
+    """Pipeline stage: one document of each group of near-duplicates stays. Texts are linked by SimHash over five words,
+    found by pigeonring filtering; a link holds if the sets of shingles have a Jaccard similarity of 0.8 or more. As 64
+    bits differ in about ten at that similarity, links that fingerprints don't show are found exactly by jaccard, which
+    compares only what SimHash has left in different groups."""
     scratch = C.Scratch(spark, "stage-simhash", C.STAGE_BYTES)
     rows = C.with_row_id(C.boxed(docs), scratch)
-    found = jaccard.near_duplicates(rows, scratch)
+    found = jaccard.near_duplicates(rows, scratch, first=(of_set, alike))
     n = rows.count()
     dropped = scratch.keep(found.filter("_row <> keep_row").select("_row"), "dropped", n)
     return C.packed(C.split_rows(rows.select("_doc", "_row"), dropped, scratch, rows=n)[1].select("_doc.*"), n)
